@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import pieces, tokens
+from factweave.llm import neardup, pieces, tokens
 from factweave.llm.common import table
 
 
@@ -32,9 +32,14 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op9_pieces": op9_pieces,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
