@@ -7,8 +7,8 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import neardup, pieces, tokens
-from factweave.llm.common import table
+from factweave.llm import decontam, neardup, pieces, tokens, toxicity
+from factweave.llm.common import crc32_of, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -16,12 +16,33 @@ def tokenizer_file(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = importlib.import_module("public_tokenizers").PATTERN
     counts = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), pattern)
     return tokens.context_report(tokens.length_histogram(counts))
 
 
+def toxicity_grammar(docs: DataFrame, labels: DataFrame, max_train: int = 6_000) -> toxicity.Grammar:
+    """Learned only from labelled rows outside the held-out third."""
+    taught = F.pmod(crc32_of(F.col("doc_id")), F.lit(3)) != 1
+    return toxicity.train(toxicity.with_text(labels, docs, taught, max_train), max_train)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity_grammar(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        F.coalesce(F.pmod(crc32_of(F.col("doc_id")), F.lit(3)) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
@@ -37,7 +58,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
 }
