@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import decontam, neardup, pieces, tokens, toxicity
+from factweave.llm import decontam, neardup, pieces, pii, tokens, toxicity
 from factweave.llm.common import crc32_of, table
 
 
@@ -16,6 +16,18 @@ def tokenizer_file(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.in_order(pii.spans(F.col("text"), pii.learn(docs))).alias("found"))
+    base = F.filter("found", lambda x: x["base"])
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(base, pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("found")).alias("spans"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +70,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
