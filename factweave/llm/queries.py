@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import decontam, neardup, pieces, pii, tokens, toxicity
+from factweave.llm import decontam, htmltext, langid, neardup, pieces, pii, quality, tokens, toxicity, urls
 from factweave.llm.common import crc32_of, table
 
 
@@ -28,6 +28,13 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(crc32_of(F.col("doc_id")), F.lit(4))
+    found = langid.identified(docs, langid.learn(docs.where(fold != 2)))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +62,51 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}'))"
+
+
+#: Longest first; the rules' lengths differ wherever two can fit the same url.
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+OP6_SQL = f"""
+with parts as (
+    select page_id,
+           translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+    from pages
+), ruled as (
+    select *, case {" ".join(f"when {_fits(h, p)} then '{h}{p}'" for h, p, _ in _BY_LENGTH)} end as rule from parts
+)
+select page_id, host, path, rule,
+       case {" ".join(f"when rule = '{h}{p}' then '{v}'" for h, p, v in _BY_LENGTH)} else 'allow' end as verdict
+from ruled
+"""
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
@@ -71,11 +123,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
+    "op2_language": op2_language,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_url_rules": op6_url_rules,
+    "op7_main_text": op7_main_text,
+    "op8_quality": op8_quality,
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_url_rules": OP6_SQL}
