@@ -60,7 +60,7 @@ def share_of_hash(key: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(20)), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """mapInArrow with a function of one batch; batches are cut to 2,000 rows so that long texts stay in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

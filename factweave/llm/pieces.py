@@ -21,6 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.llm.common import list_array, map_batches, texts_of
 
@@ -293,19 +294,22 @@ def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)
 
 
-def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id column, ids array<int> of the whole text, decoded string.
+def encode_decode(docs: DataFrame, model_file: str, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Per row: the carried columns, ids array<int> of the whole text, and decoded, what the ids decode to.
 
-    One narrow pass, no shuffle.  Null and empty texts give an empty array and ''.  Other columns are not carried, so
-    clashing names can't arise.
+    One narrow pass, no shuffle.  Null and empty texts give an empty array and ''.  Only the named columns are carried;
+    they can't be called ids or decoded.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if {"ids", "decoded"} & set(carry):
+        raise ValueError("carried columns can't be called ids or decoded")
+    given = docs.select(*map(F.col, carry), F.col(text_col).alias("decoded"))
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         each = codec(model_file)
-        both = [each.encode(t) for t in texts_of(batch.column(1))]
+        both = [each.encode(t) for t in texts_of(batch.column(len(carry)))]
         offsets = np.cumsum([0, *(len(i) // 4 for i, _ in both)])
         flat = pa.array(np.frombuffer(b"".join([i for i, _ in both]), np.int32))
-        return pa.RecordBatch.from_arrays([batch.column(0), list_array(offsets, flat), pa.array([d for _, d in both], pa.string())], names=[id_col, "ids", "decoded"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], list_array(offsets, flat), pa.array([d for _, d in both], pa.string())], names=[*carry, "ids", "decoded"])
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return map_batches(given, run, schema)

@@ -40,7 +40,7 @@ THREAT = "kill hurt beat destroy burn shoot stab hang töten umbringen tuer frap
 #: Words after a negation that it reaches; letters of the shortest and longest word beginnings learned.
 REACH, PREFIX = 3, range(4, 8)
 #: A lexicon entry needs this many toxic training texts, this share of them, this log odds, and this excess in standard deviations.
-MIN_TEXTS, MIN_SHARE, MIN_WEIGHT, MIN_Z = 4, 0.01, 1.2, 5.0
+MIN_TEXTS, MIN_SHARE, MIN_WEIGHT, MIN_Z = 4, 0.01, 1.2, 7.0
 CHANNELS = ("plain", "at_target", "negated", "reported")
 
 
@@ -96,8 +96,6 @@ class Grammar:
     def features(self, text: str) -> list[float] | None:
         """What the whole text emits; None if nothing in it can."""
         low = text.lower()
-        if not self.finder.kind == ahocorasick.AHOCORASICK:
-            return None
         channels = dict.fromkeys(CHANNELS, 0.0)
         found, done, seen = 0, -1, set()
         for end, size in self.finder.iter(low):
@@ -251,6 +249,20 @@ def scored(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col:
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, score double")
 
 
+def accepted(docs: DataFrame, grammar: Grammar, below: float = 0.7, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score `below` or more; all columns stay, and nothing is shuffled."""
+    place = docs.columns.index(text_col)
+    parts = (grammar.words, grammar.prefixes, grammar.bias, grammar.slopes)
+    cache: list[Grammar] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not cache:
+            cache.append(Grammar(*parts))
+        return batch.filter(pa.array([cache[0].score(t) < below for t in texts_of(batch.column(place))], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def with_text(labels: DataFrame, docs: DataFrame, keep: Column, max_train: int) -> DataFrame:
     """Labelled texts: labels are thinned to a bounded sample before the texts are joined to them."""
     few = labels.where(keep & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
