@@ -71,16 +71,8 @@ def flow_violations(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sani
     sources, sinks, sanitizers: column node.  Sources travel with the frontier as a key, so all run in one loop.
     """
     clean = edges.join(sanitizers.select(F.col("node").alias("src")), "src", "left_anti").join(sanitizers.select(F.col("node").alias("dst")), "dst", "left_anti")
-    starts = sources.join(sanitizers, "node", "left_anti").select(F.col("node").alias("source"), "node").distinct()
-    seen = [recursive.stored(starts, "flow")]
-    ways = clean.select("src", "dst").distinct()
-    while True:
-        step = seen[-1].join(ways, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
-        new = recursive.stored(step.join(reduce(DataFrame.unionByName, seen), ["source", "node"], "left_anti"), "flow")
-        if new.isEmpty():
-            break
-        seen.append(new)
-    reached = reduce(DataFrame.unionByName, seen)
+    starts = sources.join(sanitizers, "node", "left_anti").select(F.col("node").alias("source"), "node")
+    reached = recursive.reachable(clean.select("src", "dst"), starts, carry=("source",))
     return reached.join(sinks.select("node").distinct(), "node").where("source <> node").select("source", F.col("node").alias("sink"))
 
 

@@ -8,24 +8,35 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.plans.storage import discard, stored
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
-    """keys, node and level (least number of steps) of everything reached from seeds (keys, node), seeds included.
+#: A closure over at most this many edges (times the number of starts that are told apart) runs in one task.
+SMALL_WORK, SMALL_EDGES = 50_000_000, 1_000_000
 
-    edges: keys, src, dst.  `most` bounds the number of steps.
+
+def reachable(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), carry: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """keys, carry, node and level (least number of steps) of everything reached from seeds, seeds included.
+
+    edges: keys, src, dst; seeds: keys, carry, node.  Carried columns tell starts apart; edges don't have them.  `most` bounds
+    the number of steps.  Both inputs are counted first: small ones are searched in one task, others in rounds.
     """
-    keys = list(keys)
-    edges = edges.select(*keys, "src", "dst").distinct()
-    seen = [stored(seeds.select(*keys, "node").distinct().withColumn("level", F.lit(0)), "reach")]
+    own = [*keys, *carry]
+    edges = stored(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    seeds = stored(seeds.select(*own, "node").where("node is not null").distinct(), "seeds")
+    n_edges = edges.count()
+    starts = seeds.select(*carry).distinct().count() if carry else 1
+    if n_edges <= SMALL_EDGES and n_edges * starts <= SMALL_WORK and seeds.count() <= SMALL_EDGES:
+        return _searched(edges, seeds, list(keys), list(carry), most)
+    seen = [seeds.withColumn("level", F.lit(0))]
     while most is None or len(seen) <= most:
-        step = seen[-1].select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        known = reduce(DataFrame.unionByName, seen).select(*keys, "node")
-        new = stored(step.join(known, [*keys, "node"], "left_anti").withColumn("level", F.lit(len(seen))), "reach")
+        step = seen[-1].select(*own, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*own, F.col("dst").alias("node")).distinct()
+        known = reduce(DataFrame.unionByName, seen).select(*own, "node")
+        new = stored(step.join(known, [*own, "node"], "left_anti").withColumn("level", F.lit(len(seen))), "reach")
         if new.isEmpty():
             discard(new)
             break
@@ -33,6 +44,33 @@ def reachable(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), mo
     return reduce(DataFrame.unionByName, seen)
 
 
+def _searched(edges: DataFrame, seeds: DataFrame, keys: list[str], carry: list[str], most: int | None) -> DataFrame:
+    """The same by breadth-first search over an adjacency table in one task; inputs are known to be small."""
+    nk, own = len(keys), [*keys, *carry]
+
+    def search(ways: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        after: dict[tuple, list] = {}
+        for row in ways[[*keys, "src", "dst"]].itertuples(index=False, name=None):
+            after.setdefault(row[: nk + 1], []).append(row[nk + 1])
+        level: dict[tuple, int] = {row: 0 for row in starts[[*own, "node"]].itertuples(index=False, name=None)}
+        frontier, depth = list(level), 0
+        while frontier and (most is None or depth < most):
+            depth, new = depth + 1, []
+            for state in frontier:
+                for node in after.get((*state[:nk], state[-1]), ()):
+                    to = (*state[:-1], node)
+                    if to not in level:
+                        level[to] = depth
+                        new.append(to)
+            frontier = new
+        return pd.DataFrame([(*state, n) for state, n in level.items()], columns=[*own, "node", "level"])
+
+    one = F.lit(1).alias("_one")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seeds.select(*own, "node").schema)
+    ways, starts = edges.select("*", one).groupBy("_one"), seeds.select("*", one).groupBy("_one")
+    return stored(ways.cogroup(starts).applyInPandas(search, f"{kind}, level int"), "reach")
+
+
 def _pairs(call: DataFrame, src: str, dst: str) -> DataFrame:
     return call.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
 
@@ -54,7 +92,7 @@ def unreachable_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     keys = ("file_path", "func_qn")
     seeds = blocks.where("is_entry").select(*keys, F.col("block_id").alias("node"))
     ways = edges.select(*keys, F.col("from_block").alias("src"), F.col("to_block").alias("dst"))
-    live = reachable(ways, seeds, keys).select(*keys, F.col("node").alias("block_id"))
+    live = reachable(ways, seeds, keys=keys).select(*keys, F.col("node").alias("block_id"))
     return blocks.where("not is_exit").join(live, [*keys, "block_id"], "left_anti").select(*keys, "block_id")
 
 
@@ -133,17 +171,6 @@ def dead_code(symbol: DataFrame, ref_by_block: DataFrame, reachable_block: DataF
     unused = stored(candidates.join(kept, "qn", "left_anti"), "unused")
     within = among.join(unused.select(F.col("qn").alias("dst")), "dst", "left_semi").select("src", "dst")
     starts = roots.select(F.col("qn").alias("root"), F.col("qn").alias("node"))
-    causes = _caused(within, starts, unused).groupBy("qn").agg(F.array_join(F.sort_array(F.collect_set("root")), ",").alias("causes"))
+    caused = reachable(within, starts, carry=("root",)).select("root", F.col("node").alias("qn")).join(unused, "qn", "left_semi")
+    causes = caused.groupBy("qn").agg(F.array_join(F.sort_array(F.collect_set("root")), ",").alias("causes"))
     return roots.select("qn", F.lit("").alias("causes")).unionByName(causes.join(roots, "qn", "left_anti"))
-
-
-def _caused(edges: DataFrame, starts: DataFrame, unused: DataFrame) -> DataFrame:
-    """root and qn of every unused symbol that a root reaches; the root travels with the frontier."""
-    seen = [stored(starts.distinct(), "cause")]
-    while True:
-        step = seen[-1].join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = stored(step.join(reduce(DataFrame.unionByName, seen), ["root", "node"], "left_anti"), "cause")
-        if new.isEmpty():
-            break
-        seen.append(new)
-    return reduce(DataFrame.unionByName, seen).select("root", F.col("node").alias("qn")).join(unused, "qn", "left_semi")

@@ -294,15 +294,15 @@ def event_asof(f: Facts) -> DataFrame:
 
 
 @query(
-    """select file_path, at, qualified_name from (
-         select p.file_path, p.at, s.qualified_name, row_number() over (partition by p.file_path, p.at order by s.end_line - s.line, s.line desc, s.qualified_name desc) as n
-         from (select distinct file_path, line * 37 as at from call) p left join symbol s on s.file_path = p.file_path and p.at between s.line and s.end_line) x where n = 1""",
+    """select file_path, spot, qualified_name from (
+         select p.file_path, p.spot, s.qualified_name, row_number() over (partition by p.file_path, p.spot order by s.end_line - s.line, s.line desc, s.qualified_name desc) as n
+         from (select distinct file_path, line * 37 as spot from call) p left join symbol s on s.file_path = p.file_path and p.spot between s.line and s.end_line) x where n = 1""",
     "call symbol",
 )
 def innermost_range(f: Facts) -> DataFrame:
-    points = f.call.select("file_path", (F.col("line") * 37).alias("at")).distinct()
+    points = f.call.select("file_path", (F.col("line") * 37).alias("spot")).distinct()
     inner = f.symbol.select("file_path", "line", "end_line", "qualified_name")
-    return ranges.innermost(points, inner, "file_path", "at", "line", "end_line", [F.col("line"), F.col("qualified_name")]).select("file_path", "at", "qualified_name")
+    return ranges.innermost(points, inner, "file_path", "spot", "line", "end_line", [F.col("line"), F.col("qualified_name")]).select("file_path", "spot", "qualified_name")
 
 
 @query(
