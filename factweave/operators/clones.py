@@ -72,7 +72,7 @@ def repeated_lines(lines: DataFrame, least: int = 2) -> DataFrame:
 def repeated_runs(sequences: DataFrame, least: int = 4) -> DataFrame:
     """Maximal repeated runs of statements inside each group (group, seq_id, items): length and the places.
 
-    Longest first, places of a run don't overlap, and runs that lie within a reported one at all places are left out.
+    Longest first, places of a run don't overlap, and runs whose places all lie within reported ones are left out.
     Each group is one task's work, as a run is only compared within its group.
     """
 
@@ -132,13 +132,14 @@ def maximal_runs(sequences: dict, least: int) -> list[tuple[int, list[tuple]]]:
     while lo < hi:  # the longest length that repeats
         mid = (lo + hi + 1) // 2
         lo, hi = (mid, hi) if repeats(mid) else (lo, mid - 1)
-    out, covered = [], []
+    out, covered = [], [False] * size
     for length in range(lo, least - 1, -1):
         for chosen in repeats(length):
-            if all(any(a <= p and p + length <= b for a, b in covered) for p in chosen):
+            if all(all(covered[p : p + length]) for p in chosen):
                 continue
             out.append((length, [(owner[p], start[p]) for p in chosen]))
-            covered += [(p, p + length) for p in chosen]
+            for p in chosen:
+                covered[p : p + length] = [True] * length
     return out
 
 
