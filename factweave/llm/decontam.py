@@ -139,6 +139,8 @@ class Items:
             h = mix(h + flat[at + k].astype(np.uint64) + np.uint64(k + 1))
         lo, hi = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
         hit = hi > lo
+        if not hit.any():
+            return out
         at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
         # Each hit times its seeds: document, item, place in both.
         place = np.repeat(at, n)
@@ -171,15 +173,17 @@ class Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """id, item_id, covered, item_tokens, n_tiles and share, for each document and item whose tiles cover enough of it."""
+    return reduce(DataFrame.unionByName, [_against(docs, block, id_col, text_col, coverage) for block in item_blocks(benchmark, min_match)])
+
+
+def item_blocks(benchmark: DataFrame, min_match: int) -> Iterator[Items]:
+    """The items in blocks of bounded size, by hash."""
     items = benchmark.select("item_id", "text")
     size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-(size.chars or 0) // BLOCK_CHARS), -(-2 * size.n // BLOCK_ITEMS))
-    parts = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = [(r.item_id, r.text) for r in small_rows(block, BLOCK_ITEMS, "a block of benchmark items")]
-        parts.append(_against(docs, Items(rows, min_match), id_col, text_col, coverage))
-    return reduce(DataFrame.unionByName, parts)
+        yield Items([(r.item_id, r.text) for r in small_rows(block, BLOCK_ITEMS, "a block of benchmark items")], min_match)
 
 
 def _against(docs: DataFrame, items: Items, id_col: str, text_col: str, coverage: float) -> DataFrame:
@@ -199,10 +203,17 @@ def _against(docs: DataFrame, items: Items, id_col: str, text_col: str, coverage
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, item_id long, covered long, item_tokens long, n_tiles long, share double")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs whose text no item contaminates.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = 5, coverage: float = 0.5) -> DataFrame:
+    """docs without the rows that an item contaminates; all columns stay, and nothing is shuffled."""
+    place = docs.columns.index(text_col)
+    for items in item_blocks(benchmark, min_match):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    The judging pass is narrow: it returns the ids to drop, which are joined away.
-    """
-    bad = contaminated(docs, benchmark, **options).select(options.get("id_col", "doc_id")).distinct()
-    return docs.join(bad, options.get("id_col", "doc_id"), "left_anti")
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            found = shared.value.matches([tokens(t) for t in texts_of(batch.column(place))], coverage)
+            clean = np.ones(batch.num_rows, bool)
+            clean[[f[0] for f in found]] = False
+            return batch.filter(pa.array(clean))
+
+        docs = map_batches(docs, run, docs.schema)
+    return docs
