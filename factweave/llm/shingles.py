@@ -11,7 +11,7 @@ WORD = re.compile(r"\w+")
 _U64 = np.uint64
 #: Odd multipliers of the shingle hash, from the splitmix64 sequence.
 _GOLDEN = 0x9E3779B97F4A7C15
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 _known: dict[str, int] = {}
 
 
@@ -93,27 +93,31 @@ def bag_signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n
         value, step = np.zeros(len(live)), 0
         slots, values, names = [], [], []
         while len(live):
-            step += 1
-            h = mix(seed[live] + _U64((step * 0xD1B54A32D192ED03) & (2**64 - 1)))
-            value = value - np.log(((h >> _U64(11)).astype(np.float64) + 0.5) / 2.0**53) / (width[live] * registers)
-            keep = value < limit[u_owner[live]]
-            live, value, h = live[keep], value[keep], h[keep]
-            if not len(live):
-                break
-            g = mix(h + _U64(0x632BE59BD9B4E019))
-            register = (g >> _U64(40)) % _U64(registers)
-            level = base[live] + (g & (width[live] - 1).astype(np.uint64)).astype(np.int64)
-            seen = level < u_weight[live]
-            slots.append(u_owner[live][seen] * registers + register[seen].astype(np.int64))
-            values.append(value[seen])
+            # The next points of each live process: several at once when few processes are left.
+            ahead = max(1, min(64, 4096 // len(live)))
+            h = mix(seed[live][:, None] + (np.arange(step + 1, step + 1 + ahead, dtype=np.uint64) * _U64(0xD1B54A32D192ED03))[None, :])
+            step += ahead
+            gap = -np.log(((h >> _U64(11)).astype(np.float64) + 0.5) / 2.0**53) / (width[live] * registers)[:, None]
+            value = np.cumsum(gap, axis=1) + value[:, None]
+            unit, k = np.nonzero(value < limit[u_owner[live]][:, None])
+            on = live[unit]
+            g = mix(h[unit, k] + _U64(0x632BE59BD9B4E019))
+            level = base[on] + (g & (width[on] - 1).astype(np.uint64)).astype(np.int64)
+            seen = level < u_weight[on]
+            slots.append((u_owner[on] * registers + ((g >> _U64(40)) % _U64(registers)).astype(np.int64))[seen])
+            values.append(value[unit, k][seen])
             names.append(g[seen])
+            more = value[:, -1] < limit[u_owner[live]]
+            live, value = live[more], value[more, -1]
         slot, val, name = np.concatenate(slots), np.concatenate(values), np.concatenate(names)
-        order = np.lexsort((val, slot))
-        slot, name = slot[order], name[order]
-        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-        filled = np.bincount(slot[first] // registers, minlength=n_owners)
-        full = filled[slot[first] // registers] == registers
-        out.reshape(-1)[slot[first][full]] = name[first][full]
+        order = np.argsort(-val)  # of points written to one register the last, the least, stays
+        flat = np.zeros(n_owners * registers, np.uint64)
+        flat[slot[order]] = name[order]
+        hit = np.zeros(n_owners * registers, bool)
+        hit[slot] = True
+        filled = hit.reshape(n_owners, registers).sum(axis=1)
+        full = todo[filled[todo] == registers]
+        out[full] = flat.reshape(n_owners, registers)[full]
         todo = todo[filled[todo] < registers]
         reach *= 2
     return out

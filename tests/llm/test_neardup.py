@@ -61,11 +61,9 @@ def brute_classes(texts):
     return {k: find(k) for k in range(len(texts))}
 
 
-@pytest.mark.parametrize("rest_pairs", [10_000, 0])
-def test_classes_equal_brute_force(spark, monkeypatch, rest_pairs):
-    monkeypatch.setattr(neardup, "REST_PAIRS", rest_pairs)  # 0: everything is settled by rounds of hubs
-    monkeypatch.setattr(neardup, "HUBS", 8)
-    texts = corpus()
+@pytest.mark.parametrize("seed", [3, 11])
+def test_classes_equal_brute_force(spark, seed):
+    texts = corpus(seed)
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, node long")
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
     assert got == brute_classes(texts)
