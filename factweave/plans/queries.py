@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import names
-from factweave.operators import checks, clones, dsl, ranges, recursive, relational
+from factweave.operators import checks, clones, dsl, ranges, recursive, relational, search
 from factweave.plans.views import Facts, with_views
 from factweave.sources import scan, store
 from factweave.streaming import state
@@ -547,3 +547,53 @@ def flow_rule(f: Facts) -> DataFrame:
 def sequence_rule(f: Facts) -> DataFrame:
     step = lambda k, add: f.cfg_block.where(F.col("block_id") % 4 == k).select("file_path", "func_qn", "block_id", (F.col("block_id") * 10 + add).alias("line"))
     return checks.sequences(step(0, 0), step(2, 5), f.cfg_edge, step(3, 1))
+
+
+# -- search and edit plans --------------------------------------------------------------
+@query(
+    """, spots as (select distinct file_path, line * 37 as changed from call),
+       held as (select a.file_path, a.changed, s.qualified_name, row_number() over (partition by a.file_path, a.changed order by s.line desc, s.end_line, s.qualified_name desc) as n
+                from spots a join symbol s on s.file_path = a.file_path and a.changed between s.line and s.end_line)
+       select distinct qualified_name from held where n = 1""",
+    "call symbol",
+)
+def changed_symbols(f: Facts) -> DataFrame:
+    spans = f.call.select("file_path", (F.col("line") * 37).alias("start"), (F.col("line") * 37 + 1).alias("stop")).distinct()
+    return search.changed_symbols(f.symbol, spans)
+
+
+@query(
+    """select file_path, line, col, cast(2 as integer) as length, 'renamed' as replacement from reference where symbol_qn = 's4'
+       union select file_path, line, cast(-1 as bigint), cast(2 as integer), 'renamed' from symbol where qualified_name = 's4'""",
+    "reference symbol",
+)
+def rename_plan(f: Facts) -> DataFrame:
+    return search.rename_plan(f.symbol, f.reference, "s4", "renamed")
+
+
+@query(
+    """, gone as (select 's1' as qn, 'target' as reason union all select 's2', 'target'
+         union all select distinct callee_qn, 'cascade' from call c where caller_qn in ('s1', 's2') and callee_qn not in ('s1', 's2')
+           and not exists (select 1 from call o where o.callee_qn = c.callee_qn and o.caller_qn not in ('s1', 's2')))
+       select file_path, line, end_line, qualified_name, reason from symbol join gone on qn = qualified_name""",
+    "symbol call",
+)
+def delete_plan(f: Facts) -> DataFrame:
+    return search.delete_plan(f.symbol, f.call, ids(f, "qn", "s1", "s2"))
+
+
+@query("select n_name as source, r_name as target from nation join region on n_regionkey = r_regionkey where n_name = 'NATION_3' or r_name = 'ASIA'")
+def mapping_lookup(f: Facts) -> DataFrame:
+    pairs = f.nation.join(f.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("source"), F.col("r_name").alias("target"))
+    return search.mappings_for(pairs.withColumns({"source_project": F.lit("n"), "target_project": F.lit("r")}), "ASIA").select("source", "target").union(
+        search.mappings_for(pairs.withColumns({"source_project": F.lit("n"), "target_project": F.lit("r")}), "NATION_3", direction="source").select("source", "target")
+    )
+
+
+@query(
+    """select qualified_name, name, kind from symbol where (kind like 'func%' or kind = 'class') and (name like 'test%' or name like '%1') and coalesce(parent, '') = ''""",
+    "symbol",
+)
+def symbol_query(f: Facts) -> DataFrame:
+    rows = f.symbol.withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1))
+    return search.query_symbols(rows, kinds=["func*", "class"], name=["test*", "*1"], depths=["0"]).select("qualified_name", "name", "kind")

@@ -18,7 +18,7 @@ def files(spark: SparkSession, root: str, extensions: list[str] | None = None) -
     return (
         found.where(~F.col("path").rlike(SKIP_DIRS) & suffix.isin(wanted))
         .withColumn("language", language(F.col("path")))
-        .select(F.col("path").alias("file_path"), "language", "length", F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("content"))
+        .select(F.col("path").alias("file_path"), "language", "length", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
     )
 
 
