@@ -157,9 +157,9 @@ def dead_code(symbol: DataFrame, ref_by_block: DataFrame, reachable_block: DataF
     """
     live = ref_by_block.join(reachable_block, ["file_path", "func_qn", "block_id"], "left_semi")
     edges = stored(live.where("func_qn <> symbol_qn").select(F.col("func_qn").alias("src"), F.col("symbol_qn").alias("dst")).distinct(), "refs")
-    outer = module_refs.select(F.col("symbol_qn").alias("qn")).distinct()
+    outer = stored(module_refs.select(F.col("symbol_qn").alias("qn")).distinct(), "outer")
     used = edges.select(F.col("dst").alias("qn")).union(outer).distinct()
-    eligible = symbol.where("parent is null").select(F.col("qualified_name").alias("qn")).distinct().join(entries, "qn", "left_anti")
+    eligible = stored(symbol.where("parent is null").select(F.col("qualified_name").alias("qn")).distinct().join(entries, "qn", "left_anti"), "eligible")
     roots = stored(eligible.join(used, "qn", "left_anti"), "roots")
     inner = edges.join(eligible.select(F.col("qn").alias("dst")), "dst", "left_semi").select("src", "dst")
     candidates = stored(reachable(inner, roots.select(F.col("qn").alias("node"))).select(F.col("node").alias("qn")).distinct(), "candidates")
