@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,39 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.plans.storage import discard, scratch_dir, stored  # noqa: F401
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="factweave-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
+#: Rows of an Arrow batch at most; the session's limit is lowered to it, so that long texts stay in memory.
+BATCH_ROWS = 1_000
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/factweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._factweave_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame that `stored` returned; nothing may read it afterwards."""
-    path = getattr(df, "_factweave_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc32_of(col: Column) -> Column:
@@ -61,12 +34,15 @@ def share_of_hash(key: Column, share: Column) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are cut to 2,000 rows so that long texts stay in memory."""
+    """mapInArrow with a function of one batch of at most BATCH_ROWS rows."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(limit, "10000")) <= BATCH_ROWS:
+        conf.set(limit, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                out = fn(batch.slice(start, 2000))
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                out = fn(batch.slice(start, BATCH_ROWS))
                 if out is not None and out.num_rows:
                     yield out
 
