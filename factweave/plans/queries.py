@@ -270,6 +270,12 @@ def call_components(f: Facts) -> DataFrame:
     return recursive.components(f.call.where("col % 30 = 1").select(F.col("caller_qn").alias("src"), F.col("callee_qn").alias("dst")))
 
 
+@query()
+def call_components_all(f: Facts) -> DataFrame:
+    """Components over every call; without SQL, as a recursive union lists every pair of a component's nodes."""
+    return recursive.components(f.call.select(F.col("caller_qn").alias("src"), F.col("callee_qn").alias("dst")))
+
+
 # -- ranges -------------------------------------------------------------------
 @query(
     """select c.file_path, c.caller_qn, c.line, (select t.type_str from type_binding t where t.file_path = c.file_path and t.symbol_qn = 'v1' and t.line <= c.line + 1
