@@ -445,6 +445,18 @@ def shingle_pairs(f: Facts) -> DataFrame:
     return clones.shared_shingles(clones.shingles(both, "id", "t"))
 
 
+@query(
+    """with tok as (select item_id as id, string_split(lower(text), ' ') as t from benchmark union all select doc_id + 1000000, string_split(lower(text), ' ') from documents),
+       g as (select distinct id, array_to_string(t[i:i + 4], ' ') as s from (select id, t, unnest(range(1, len(t) - 3)) as i from tok where len(t) >= 5)),
+       r as (select s from g group by s having count(*) between 2 and 40)
+       select a.id as left, b.id as right, count(*) as shared from g a join g b on a.s = b.s and a.id < b.id where a.s in (select s from r) group by 1, 2 having count(*) >= 4"""
+)
+def shingle_pairs_all(f: Facts) -> DataFrame:
+    tokens = F.split(F.lower("text"), " ").alias("t")
+    texts = f.documents.select((F.col("doc_id") + 1000000).alias("id"), tokens)
+    return clones.shared_shingles(clones.shingles(f.benchmark.select(F.col("item_id").alias("id"), tokens).unionByName(texts), "id", "t"))
+
+
 @query(
     """select l as line_text, count(*) as n_places, count(distinct doc_id) as n_texts from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x
        where trim(l) <> '' group by 1 having count(*) >= 2"""

@@ -1,5 +1,8 @@
 """Queries over whole tables on the smallest tables, against brute force."""
 
+from collections import Counter, defaultdict
+from itertools import combinations
+
 from factweave.plans.queries import QUERIES
 from factweave.plans.views import Facts
 
@@ -21,3 +24,18 @@ def test_call_components_all(spark):
     got = {r.node: r.component for r in QUERIES["call_components_all"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
     assert set(got) == {x for row in calls for x in row}
+
+
+def test_shingle_pairs_all(spark):
+    held, lengths = defaultdict(set), {}
+    facts = Facts(spark, SF)
+    for first, rows in ((1_000_000, facts.documents.select("doc_id", "text").collect()), (0, facts.benchmark.select("item_id", "text").collect())):
+        for k, text in rows:
+            tokens = (text or "").lower().split(" ")
+            lengths[first + k] = len(tokens)
+            for i in range(len(tokens) - 4):
+                held[tuple(tokens[i : i + 5])].add(first + k)
+    shared = Counter(pair for ids in held.values() if len(ids) <= 40 for pair in combinations(sorted(ids), 2))
+    got = {(r.left, r.right): r.shared for r in QUERIES["shingle_pairs_all"](spark, SF).collect()}
+    assert got == {pair: n for pair, n in shared.items() if n >= 4}
+    assert any(max(lengths[a], lengths[b]) > 200 for a, b in got)
