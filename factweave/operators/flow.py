@@ -91,12 +91,12 @@ def reaching(events: DataFrame, edges: DataFrame) -> DataFrame:
     return events.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(solve, "file_path string, func_id string, from_event long, to_event long")
 
 
-def balanced_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int = 8) -> DataFrame:
+def balanced_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth: int | None = None) -> DataFrame:
     """component, source, sink and witness (comma-joined nodes) of the shortest paths on which calls and returns match.
 
     edges: component, src, dst, kind (value, call_arg, call_return), call_id.  Entering a call pushes its id; a return must match
-    the last one, and with nothing pushed may go anywhere; entering a call that is already open keeps the stack, and at
-    most `depth` calls are open.  Components are connected by calls, and each is one task.
+    the last one, and with nothing pushed may go anywhere; entering a call that is already open keeps the stack, so the
+    search ends; at most `depth` calls are open if it is given.  Components are connected by calls, and each is one task.
     """
 
     def search(edges: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
@@ -131,12 +131,12 @@ def balanced_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, depth
     return edges.groupBy("component").cogroup(ends.groupBy("component")).applyInPandas(search, "component long, source long, sink long, witness string")
 
 
-def step(stack: tuple, kind: str, call: int | None, depth: int) -> tuple | None:
+def step(stack: tuple, kind: str, call: int | None, depth: int | None) -> tuple | None:
     """Stack after an edge, or None if it can't be taken."""
     if kind == "call_arg":
         if call in stack:
             return stack
-        return (*stack, call) if len(stack) < depth else None
+        return (*stack, call) if depth is None or len(stack) < depth else None
     if kind == "call_return":
         if not stack:
             return stack

@@ -119,6 +119,16 @@ def test_balanced_paths(spark):
     assert rows(flow.balanced_paths(parts, ends(1), ends(21, 22)), "source", "sink", "witness") == [(1, 21, "1,10,11,21")]
 
 
+def test_balanced_paths_of_any_depth(spark):
+    # Twelve calls inside each other, and back out of all of them.
+    into = [(k, k + 1, "call_arg", 100 + k) for k in range(12)]
+    out = [(12 + k, 13 + k, "call_return", 111 - k) for k in range(12)]
+    parts = spark.createDataFrame([(0, *e) for e in into + out], "component long, src long, dst long, kind string, call_id long")
+    ends = lambda v: spark.createDataFrame([(0, v)], "component long, node long")
+    assert rows(flow.balanced_paths(parts, ends(0), ends(24)), "source", "sink", "witness") == [(0, 24, ",".join(map(str, range(25))))]
+    assert rows(flow.balanced_paths(parts, ends(0), ends(24), depth=11), "source") == []
+
+
 def test_summaries(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5)], "src long, dst long")
     params = spark.createDataFrame([("f", "a", 1), ("f", "b", 4)], "func_qn string, param_name string, node long")
