@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factweave.llm import neardup
@@ -69,6 +70,28 @@ def test_classes_equal_brute_force(spark, seed):
     assert got == brute_classes(texts)
 
 
+def test_pairs_by_size_at_exactly_the_threshold(spark):
+    rows = []
+    for common in range(4, 4001, 4):  # two members that share just this much, so that they are at 0.8
+        both = common * 9 // 4
+        rows += [(2 * common, -common, both // 2, common, 2 * common, -common), (2 * common + 1, -common, both - both // 2, common, 2 * common + 1, -common)]
+    placed = spark.createDataFrame(rows, "node long, hub long, n_shingles long, common long, label long, hub_label long")
+    got = {(r.node, r.hub) for r in neardup._by_size(placed, 0.8).collect()}
+    assert got == {(2 * c, 2 * c + 1) for c in range(4, 4001, 4)}
+
+
+def test_excerpts_of_a_hub_are_linked(spark):
+    base = [f"w{k}" for k in range(104)]
+    texts = [" ".join(x) for x in (base, base[:60] + [f"x{k}" for k in range(7)], base[:60] + [f"y{k}" for k in range(7)], [*base, "z"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sigs = neardup.signatures(docs, "id").select(F.col("id").alias("node"), "n_shingles", "marks")
+    # The hub is in two buckets; the excerpts meet only there, at 56 of 70 shingles, and add nothing in common.
+    members = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 3)], "bucket long, node long").join(sigs.drop("marks"), "node").select("bucket", "node", "n_shingles")
+    found = neardup.links(members, sigs.select("node", "marks"), lambda ids: docs.join(ids, "id", "left_semi"), 0.8, 5, 180)
+    got = {tuple(sorted((r.node, r.hub))) for f in found for r in f.collect()}
+    assert got == {(0, 3), (1, 2)}
+
+
 def test_deduplicated_keeps_one_of_each_class(spark):
     texts = corpus(4, 4)
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, bands long")
