@@ -335,6 +335,18 @@ def interval_overlap(f: Facts) -> DataFrame:
     return ranges.overlapping(a, b, "file_path")
 
 
+@query(
+    """, a as (select file_path, line as start, end_line + 1 as stop from symbol),
+       b as (select distinct file_path, line * 41 as r_start, line * 41 + 9 as r_stop from call)
+       select file_path, start, stop, r_start, r_stop from a join b using (file_path) where start < r_stop and r_start < stop""",
+    "symbol call",
+)
+def interval_overlap_all(f: Facts) -> DataFrame:
+    a = f.symbol.select("file_path", F.col("line").alias("start"), (F.col("end_line") + 1).alias("stop"))
+    b = f.call.select("file_path", (F.col("line") * 41).alias("r_start"), (F.col("line") * 41 + 9).alias("r_stop")).distinct()
+    return ranges.overlapping(a, b, "file_path")
+
+
 @query(
     """, x as (select file_path, line as start, end_line + 1 as stop from symbol),
        y as (select *, case when max(stop) over (partition by file_path order by start, stop rows between unbounded preceding and 1 preceding) >= start then 0 else 1 end as fresh from x),

@@ -39,3 +39,13 @@ def test_shingle_pairs_all(spark):
     got = {(r.left, r.right): r.shared for r in QUERIES["shingle_pairs_all"](spark, SF).collect()}
     assert got == {pair: n for pair, n in shared.items() if n >= 4}
     assert any(max(lengths[a], lengths[b]) > 200 for a, b in got)
+
+
+def test_interval_overlap_all(spark):
+    facts = Facts(spark, SF)
+    spans = {(r.file_path, r.line * 41, r.line * 41 + 9) for r in facts.call.select("file_path", "line").collect()}
+    wanted = []
+    for path, line, end in facts.symbol.select("file_path", "line", "end_line").collect():
+        wanted += [(path, line, end + 1, a, b) for p, a, b in spans if p == path and line < b and a < end + 1]
+    assert sorted(tuple(r) for r in QUERIES["interval_overlap_all"](spark, SF).collect()) == sorted(wanted)
+    assert any(stop == 2001 for _, _, stop, _, _ in wanted)
