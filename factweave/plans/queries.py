@@ -85,6 +85,11 @@ def def_uses(f: Facts) -> DataFrame:
     return relational.matching(f.def_use, func_qn="s5", var_name="v2")
 
 
+@query("select * from def_use_all where func_qn = 's5' and var_name = 'v2'", "def_use_all")
+def def_uses_all(f: Facts) -> DataFrame:
+    return relational.matching(f.def_use_all, func_qn="s5", var_name="v2")
+
+
 @query("select symbol_qn, decorator from decorator_on where regexp_matches(decorator, '^App')", "decorator_on")
 def decorators_like(f: Facts) -> DataFrame:
     return f.decorator_on.where(F.col("decorator").rlike("^App")).select("symbol_qn", "decorator")
@@ -142,6 +147,16 @@ def receiver_type_join(f: Facts) -> DataFrame:
     return relational.receiver_types(f.method_call, f.def_use, f.type_binding)
 
 
+@query(
+    """select distinct m.file_path, m.func_qn, m.receiver, m.method, t.type_str
+       from method_call_all m join def_use_all d on d.file_path = m.file_path and d.func_qn = m.func_qn and d.var_name = m.receiver and d.use_block = m.block_id
+       join type_binding t on t.file_path = m.file_path and t.symbol_qn = m.receiver and t.line = d.def_line""",
+    "method_call_all def_use_all type_binding",
+)
+def receiver_type_join_all(f: Facts) -> DataFrame:
+    return relational.receiver_types(f.method_call_all, f.def_use_all, f.type_binding)
+
+
 @query("select qualified_name, kind from symbol s where not exists (select 1 from reference r where r.symbol_qn = s.qualified_name and ref_kind <> 'definition')", "symbol reference")
 def dead_code_simple(f: Facts) -> DataFrame:
     return relational.unreferenced(f.symbol, f.reference).select("qualified_name", "kind")
@@ -188,6 +203,16 @@ def def_use_pairs(f: Facts) -> DataFrame:
     return relational.def_use_pairs(f.def_use.select(*key, "def_line").distinct(), f.def_use.select(*key, "use_line").distinct())
 
 
+@query(
+    """select distinct d.file_path, d.func_qn, d.var_name, d.def_line, u.use_line from (select distinct file_path, func_qn, var_name, def_line from def_use_all) d
+       join (select distinct file_path, func_qn, var_name, use_line from def_use_all) u using (file_path, func_qn, var_name)""",
+    "def_use_all",
+)
+def def_use_pairs_all(f: Facts) -> DataFrame:
+    key = ("file_path", "func_qn", "var_name")
+    return relational.def_use_pairs(f.def_use_all.select(*key, "def_line").distinct(), f.def_use_all.select(*key, "use_line").distinct())
+
+
 # -- recursion ---------------------------------------------------------------
 _REACH = "seen(node) as (select '{0}' union select c.{2} from seen s join call c on c.{1} = s.node) select node as qn from seen where node <> '{0}'"
 

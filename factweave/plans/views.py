@@ -82,6 +82,9 @@ VIEWS: dict[str, str] = {
                lead(event_id) over (partition by user_id order by ts, event_id) as next_id
         from events""",
 }
+#: The same over every row of lineitem.
+for _name in ("method_call", "def_use"):
+    VIEWS[f"{_name}_all"] = VIEWS[_name].replace(" where l_quantity >= 45", "")
 
 
 def _needs(name: str) -> list[str]:

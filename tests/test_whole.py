@@ -49,3 +49,23 @@ def test_interval_overlap_all(spark):
         wanted += [(path, line, end + 1, a, b) for p, a, b in spans if p == path and line < b and a < end + 1]
     assert sorted(tuple(r) for r in QUERIES["interval_overlap_all"](spark, SF).collect()) == sorted(wanted)
     assert any(stop == 2001 for _, _, stop, _, _ in wanted)
+
+
+def test_receivers_and_definitions_of_all_rows(spark):
+    facts = Facts(spark, SF)
+    uses, calls, types = set(), set(), defaultdict(set)
+    for order, supplier, part, number in facts.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").collect():
+        place = (f"f{order % 50}.py", f"s{supplier}", f"v{part % 5}")
+        uses.add((*place, "write", number % 3, order % 7, part % 30, order % 90))
+        calls.add((*place, f"m{number}", order % 7))
+    for path, name, line, kind in facts.type_binding.select("file_path", "symbol_qn", "line", "type_str").collect():
+        types[path, name, line].add(kind)
+    at, defs, used = defaultdict(set), defaultdict(set), defaultdict(set)
+    for *place, _, _, block, line, use in uses:
+        at[(*place, block)].add(line)
+        defs[tuple(place)].add(line)
+        used[tuple(place)].add(use)
+    of = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, SF).collect())
+    assert of("def_uses_all") == sorted(r for r in uses if r[1] == "s5" and r[2] == "v2")
+    assert of("def_use_pairs_all") == sorted((*p, a, b) for p in defs for a in defs[p] for b in used[p])
+    assert of("receiver_type_join_all") == sorted({(p, f, v, m, t) for p, f, v, m, b in calls for line in at[p, f, v, b] for t in types[p, v, line]})
