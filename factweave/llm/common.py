@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.plans.storage import discard, scratch_dir, stored  # noqa: F401
+from factweave.plans.storage import SMALL_ROWS, Scratch, discard, is_small, scratch_dir, stored  # noqa: F401
 
-#: Rows of an Arrow batch at most; the session's limit is lowered to it, so that long texts stay in memory.
-BATCH_ROWS = 1_000
+#: Rows and bytes that are worked on at once, about, so that Python's copies of long texts stay in memory.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +33,27 @@ def share_of_hash(key: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(20)), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most BATCH_ROWS rows and about BATCH_BYTES; a row is never split."""
+    if batch.num_rows <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+        yield batch
+        return
+    at, rows = 0, max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    while at < batch.num_rows:
+        part = batch.slice(at, rows)
+        while part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
-    """mapInArrow with a function of one batch of at most BATCH_ROWS rows."""
-    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(limit, "10000")) <= BATCH_ROWS:
-        conf.set(limit, str(BATCH_ROWS))
+    """mapInArrow with a function of one slice of bounded rows and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                out = fn(batch.slice(start, BATCH_ROWS))
+            for part in slices(batch):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 

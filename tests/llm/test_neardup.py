@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factweave.llm import neardup
+from factweave.plans import storage
 from factweave.llm.shingles import bag, bag_signatures, mix, overlap
 
 
@@ -70,6 +71,27 @@ def test_classes_equal_brute_force(spark, seed):
     assert got == brute_classes(texts)
 
 
+def test_large_tables_take_the_shuffled_way(spark, monkeypatch):
+    monkeypatch.setattr(storage, "SMALL_ROWS", -1)
+    monkeypatch.setattr(neardup, "PART", 7)
+    texts = corpus(5, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == brute_classes(texts)
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    for n, m in ((1, 0), (50, 30), (400, 380), (300, 299)):
+        edges = [(k, k + 1) for k in range(299)] if m == 299 else [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        frame = spark.createDataFrame(edges, "a long, b long")
+        got = {r.node: r.root for r in neardup.classes(frame, neardup.Scratch()).collect()}
+        assert got == {k: root[k] for a, b in edges if a != b for k in (a, b)}
+
+
 def test_pairs_by_size_at_exactly_the_threshold(spark):
     rows = []
     for common in range(4, 4001, 4):  # two members that share just this much, so that they are at 0.8
@@ -87,9 +109,8 @@ def test_excerpts_of_a_hub_are_linked(spark):
     sigs = neardup.signatures(docs, "id").select(F.col("id").alias("node"), "n_shingles", "marks")
     # The hub is in two buckets; the excerpts meet only there, at 56 of 70 shingles, and add nothing in common.
     members = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 3)], "bucket long, node long").join(sigs.drop("marks"), "node").select("bucket", "node", "n_shingles")
-    found = neardup.links(members, sigs.select("node", "marks"), lambda ids: docs.join(ids, "id", "left_semi"), 0.8, 5, 180)
-    got = {tuple(sorted((r.node, r.hub))) for f in found for r in f.collect()}
-    assert got == {(0, 3), (1, 2)}
+    found = neardup.links(members, sigs.select("node", "marks"), lambda ids, few: docs.join(ids, "id", "left_semi"), 0.8, 5, 180, neardup.Scratch())
+    assert {(r.node, r.label) for r in found.collect()} == {(0, 0), (3, 0), (1, 1), (2, 1)}
 
 
 def test_deduplicated_keeps_one_of_each_class(spark):
@@ -100,6 +121,14 @@ def test_deduplicated_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes(texts).values()))
 
 
+def test_deduplicated_with_repeated_ids(spark):
+    long = "a b c d e f g h i j k l"
+    rows = [(1, long, "x"), (1, long, "x"), (1, "other words stand here", "x"), (2, long + " m", "y"), (None, long, "z"), (3, None, "z"), (3, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key_of string")
+    got = sorted(map(str, neardup.deduplicated(docs).collect()))
+    assert got == sorted(map(str, spark.createDataFrame([rows[0], rows[2], rows[4], rows[5]], docs.schema).collect()))
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == 0
