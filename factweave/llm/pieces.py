@@ -30,6 +30,19 @@ SPACE = "▁"
 WORD_CHARS, WORDS_KEPT, PAIRS_KEPT = 48, 250_000, 500_000
 
 
+def _lenient(found: bytearray) -> str:
+    """UTF-8 where every byte that is no part of a character stands for itself as U+FFFD."""
+    out, rest = [], bytes(found)
+    while rest:
+        try:
+            out.append(rest.decode())
+            break
+        except UnicodeDecodeError as bad:
+            out.append(rest[: bad.start].decode() + "\ufffd")
+            rest = rest[bad.start + 1 :]
+    return "".join(out)
+
+
 class PieceCodec:
     """Encoder and decoder for one merge-type model file without a text-changing normaliser."""
 
@@ -88,8 +101,8 @@ class PieceCodec:
         #: Remembered ids of words, with and without a space before them: the recent ones, and those before.
         self.recent: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        #: What a word decodes to where that isn't the word itself.
-        self.odd: dict[str, str] = {}
+        #: What each piece decodes to; an unknown one to the library's sign for it.
+        self.shown = [" ⁇ " if i == self.unknown else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
         self.newline_splits = "\n" not in {c for i in others for c in self.text[i]}
 
     def merge(self, word: str) -> list[int]:
@@ -202,20 +215,23 @@ class PieceCodec:
             ids += self.backtrack(word[start:])
         return ids
 
-    def decode_ids(self, ids: list[int]) -> str:
-        """Pieces joined, byte pieces read as UTF-8, spaces restored; the leading space is kept here."""
+    def decode(self, ids: list[int]) -> str:
+        """Pieces joined, byte pieces read as UTF-8, and the space before the first word taken away."""
+        shown = self.shown
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([shown[i] for i in ids])[1:]
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
                 pending.append(self.byte_of[i])
                 continue
             if pending:
-                out.append(pending.decode("utf-8", "replace"))
+                out.append(_lenient(pending))
                 pending.clear()
-            out.append(self.text[i])
+            out.append(shown[i])
         if pending:
-            out.append(pending.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")
+            out.append(_lenient(pending))
+        return "".join(out)[1:]
 
     def miss(self, word: str, spaced: int) -> bytes:
         """int32 ids of a word that isn't among the recent ones."""
@@ -230,9 +246,6 @@ class PieceCodec:
             parts.append(whole[start:])
             ids = [i for p in parts for i in self.encode_word(p)] if len(parts) < 3 or len(whole) <= WORD_CHARS else self.encode_long(parts)
             found = np.asarray(ids, np.int32).tobytes()
-            decoded = self.decode_ids(ids)
-            if decoded != (" " + word if spaced else word):
-                self.odd[" " + word if spaced else word] = decoded
         if len(word) <= WORD_CHARS:
             if len(recent) >= WORDS_KEPT:
                 self.before, self.recent = self.recent, ({}, {})
@@ -256,10 +269,10 @@ class PieceCodec:
         ids = [*self.spaces(count), *ids[1:]] if ids[0] == one else [*self.spaces(count - 1), *ids]
         return np.asarray(ids, np.int32).tobytes()
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """int32 ids of the whole text, and what those ids decode to."""
+    def encode(self, text: str) -> np.ndarray:
+        """int32 ids of the whole text."""
         if not text:
-            return b"", ""
+            return np.zeros(0, np.int32)
         miss = self.miss
         found: list[bytes] = []
         text = text.replace(SPACE, " ")
@@ -283,10 +296,7 @@ class PieceCodec:
                 empty = 0
             if empty:
                 found.append(self.run_then(empty, ""))
-        ids = b"".join(found)
-        if not self.odd:  # each word decodes to itself, so the text does
-            return ids, text
-        return ids, self.decode_ids(np.frombuffer(ids, np.int32).tolist())[1:]
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 @functools.lru_cache(2)
@@ -297,7 +307,8 @@ def codec(model_file: str) -> PieceCodec:
 def encode_decode(docs: DataFrame, model_file: str, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row: the carried columns, ids array<int> of the whole text, and decoded, what the ids decode to.
 
-    One narrow pass, no shuffle.  Null and empty texts give an empty array and ''.  Only the named columns are carried;
+    One narrow pass, no shuffle.  Null and empty texts give an empty array and '', an empty table no rows, and rows that
+    repeat their own results.  The ids of every text are decoded.  Only the named columns are carried;
     they can't be called ids or decoded.
     """
     if {"ids", "decoded"} & set(carry):
@@ -307,9 +318,9 @@ def encode_decode(docs: DataFrame, model_file: str, carry: tuple[str, ...] = ("d
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         each = codec(model_file)
-        both = [each.encode(t) for t in texts_of(batch.column(len(carry)))]
-        offsets = np.cumsum([0, *(len(i) // 4 for i, _ in both)])
-        flat = pa.array(np.frombuffer(b"".join([i for i, _ in both]), np.int32))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], list_array(offsets, flat), pa.array([d for _, d in both], pa.string())], names=[*carry, "ids", "decoded"])
+        ids = [each.encode(t) for t in texts_of(batch.column(len(carry)))]
+        decoded = [each.decode(i.tolist()) for i in ids]
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], list_array(np.cumsum([0, *map(len, ids)]), flat), pa.array(decoded, pa.string())], names=[*carry, "ids", "decoded"])
 
     return map_batches(given, run, schema)
