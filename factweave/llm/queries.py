@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import decontam, htmltext, langid, neardup, pieces, pii, quality, tokens, toxicity, urls
-from factweave.llm.common import crc32_of, table
+from factweave.llm.common import crc32_of, stored, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -42,7 +42,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = importlib.import_module("public_tokenizers").PATTERN
     counts = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), pattern)
-    return tokens.context_report(tokens.length_histogram(counts))
+    hist = stored(tokens.length_histogram(counts), "lengths")  # read twice below; the texts are encoded once
+    return tokens.context_report(hist)
 
 
 def toxicity_grammar(docs: DataFrame, labels: DataFrame, max_train: int = 6_000) -> toxicity.Grammar:
