@@ -6,17 +6,20 @@ and urls are sorted by key and swept once; a stack holds the rule hosts whose in
 first.  Inside a host, its paths are nested intervals too, found by binary search and links to the enclosing path.  The
 longest fitting rule (host and path together, then host) decides.
 
-The rule set is checked: up to `MOST_RULES` it is sent to every task, and each task sorts its own urls, so urls
-aren't shuffled and no host can be hot.  A larger set is cut into blocks of that size, each swept the same way, and the
-blocks' answers are merged by length.
+The rule set is checked: up to `MOST_RULES` it is sent to every task.  Urls aren't shuffled, so no host can be hot: each
+task's urls are sorted by key where they are, and one merge with the sorted rules runs through the whole partition.  A larger set is
+cut into blocks of that size, each merged the same way, and the longest of the blocks' answers is taken by the same order.
 
 Defined results: host and path of a null url, or one without ://, are empty; no rule fits an empty host.  Of rules with
-equal host and path, block wins.  Rows that repeat keep their own results.
+equal host and path, block wins; two different rules of equal length never fit one url, unless their hosts differ in
+length: then the longer host wins.  Rows that repeat keep their own results, rows with a null id too.  Empty pages give
+no rows, no rules the default verdict.  Other columns of pages aren't carried.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -24,8 +27,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_batches
-
 MOST_RULES = 200_000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -83,27 +84,29 @@ def compiled(rules: list[tuple[str, str, str]]) -> list[HostRules]:
     return [hosts[k] for k in sorted(hosts)]
 
 
-def sweep(urls: list[tuple[str, str]], rules: list[HostRules]) -> list[tuple[str, str] | None]:
-    """For (host, path) pairs in any order: the rule text and verdict of the longest fitting rule."""
-    out: list[tuple[str, str] | None] = [None] * len(urls)
-    keys = [host_key(h) for h, _ in urls]
-    stack: list[HostRules] = []
-    at = 0
-    for k in sorted(range(len(urls)), key=keys.__getitem__):
-        key, path = keys[k], urls[k][1]
-        while at < len(rules) and rules[at].key <= key:
-            while stack and not rules[at].key.startswith(stack[-1].key):
-                stack.pop()
-            stack.append(rules[at])
-            at += 1
-        while stack and not key.startswith(stack[-1].key):
-            stack.pop()
-        best = (-1, -1)
-        for own in stack:
+class Merge:
+    """One pass of sorted rules beside urls that come in the order of their host keys."""
+
+    def __init__(self, rules: list[HostRules]):
+        self.rules, self.at = rules, 0
+        self.open: list[HostRules] = []  # rule hosts whose intervals hold the present key, outermost first
+
+    def find(self, key: str, path: str) -> tuple[str, str, int] | None:
+        """Rule text, verdict and length of the host of the longest fitting rule."""
+        rules, open_ = self.rules, self.open
+        while self.at < len(rules) and rules[self.at].key <= key:
+            own = rules[self.at]
+            while open_ and not own.key.startswith(open_[-1].key):
+                open_.pop()
+            open_.append(own)
+            self.at += 1
+        while open_ and not key.startswith(open_[-1].key):
+            open_.pop()
+        best, found = (-1, -1), None
+        for own in open_:
             if (j := own.longest(path)) >= 0 and (size := (len(own.host) + len(own.paths[j]), len(own.host))) > best:
-                best = size
-                out[k] = (own.host + own.paths[j], own.verdicts[j])
-    return out
+                best, found = size, (own.host + own.paths[j], own.verdicts[j], len(own.host))
+        return found
 
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -114,18 +117,19 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: s
     rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> '' and verdict in ('allow', 'block')")
     n = rules.count()
     blocks = -(-n // MOST_RULES) or 1
-    base = pages.select(F.col(id_col), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    host = host_of(F.col(url_col))
+    base = pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path_of(F.col(url_col)).alias("path"))
     swept = []
     for b in range(blocks):
         part = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == b)
-        swept.append(_swept(base, compiled([tuple(r) for r in part.collect()]), id_col))
+        swept.append(_swept(base, compiled([tuple(r) for r in part.distinct().collect()]), id_col))
     if blocks == 1:
         found = swept[0]
     else:  # the row's own key keeps repeated rows apart from different ones; equal rows have equal answers
         row = [id_col, "url", "host", "path"]
         each = reduce(DataFrame.unionByName, [s.withColumn("block", F.lit(b)) for b, s in enumerate(swept)])
-        best = F.max_by(F.struct("rule", "found"), F.struct(F.coalesce(F.length("rule"), F.lit(-1)), F.coalesce(F.col("rule"), F.lit(""))))
-        whole = each.groupBy(*row).agg(best.alias("b"), F.sum(F.when(F.col("block") == 0, 1)).alias("times"))
+        size = F.struct(F.coalesce(F.length("rule"), F.lit(-1)), F.coalesce(F.col("host_size"), F.lit(-1)))
+        whole = each.groupBy(*row).agg(F.max_by(F.struct("rule", "found"), size).alias("b"), F.sum(F.when(F.col("block") == 0, 1)).alias("times"))
         found = whole.select(*row, "b.rule", "b.found", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("col")
     return found.select(id_col, "url", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
 
@@ -133,11 +137,14 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: s
 def _swept(base: DataFrame, rules: list[HostRules], id_col: str) -> DataFrame:
     kind = base.select(id_col).schema[0].dataType.simpleString()
     shared = base.sparkSession.sparkContext.broadcast(rules)
+    # Labels reversed, each with a dot; strings compare by UTF-8 bytes here, which is the order of code points in Python.
+    key = F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "."), F.lit(".")))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = sweep(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), shared.value)
-        rule = pa.array([f and f[0] for f in found], pa.string())
-        verdict = pa.array([f and f[1] for f in found], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[id_col, "url", "host", "path", "rule", "found"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = Merge(shared.value)
+        for batch in batches:
+            found = [merge.find(k, p) for k, p in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rule, verdict, size = (pa.array([f and f[n] for f in found], t) for n, t in enumerate((pa.string(), pa.string(), pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], rule, verdict, size], names=[id_col, "url", "host", "path", "rule", "found", "host_size"])
 
-    return map_batches(base, run, f"`{id_col}` {kind}, url string, host string, path string, rule string, found string")
+    return base.withColumn("host_key", key).sortWithinPartitions("host_key").mapInArrow(run, f"`{id_col}` {kind}, url string, host string, path string, rule string, found string, host_size int")

@@ -249,6 +249,21 @@ def test_url_rules_equal_brute_force(spark):
         assert (r.rule, r.verdict) == (max(fit)[2:] if fit else (None, "allow"))
 
 
+def test_url_rules_of_equal_length_in_blocks(spark, monkeypatch):
+    """Some rules are of one length for an url, with hosts of different length; a block each, and one for all."""
+    rules = [(f"m{k}.com", "/ab", "block") for k in range(14)] + [(f"b.m{k}.com", "/", "allow") for k in range(14)] + [("m0.com", "/ab", "allow")]
+    pages = [(k, f"http://b.m{k}.com/ab") for k in range(14)] + [(20, "http://b.m1.com/ab"), (21, None), (None, "http://m1.com/abc")]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit("clash"))
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    whole = sorted(map(tuple, urls.judged(df, table).collect()), key=str)
+    assert {r[4] for r in whole} == {f"b.m{k}.com/" for k in range(14)} | {"m1.com/ab", None}
+    for most in (1, 5):
+        monkeypatch.setattr(urls, "MOST_RULES", most)
+        assert sorted(map(tuple, urls.judged(df, table).collect()), key=str) == whole
+    assert urls.judged(df.limit(0), table).count() == 0
+    assert {r.verdict for r in urls.judged(df, table.limit(0)).collect()} == {"allow"}
+
+
 def test_url_rules_in_blocks(spark, monkeypatch):
     rules = spark.createDataFrame([("com", "/", "allow"), ("a.com", "/x", "block"), ("net", "/", "block")], "host string, path string, verdict string")
     df = spark.createDataFrame([(1, "http://b.a.com/xy"), (1, "http://b.a.com/xy"), (2, "http://q.org/")], "page_id long, url string")
