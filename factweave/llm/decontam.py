@@ -8,8 +8,9 @@ contaminated by an item if its tiles cover at least `coverage` of the item's tok
 
 The items are a broadcast in blocks of a bounded size; further blocks take further passes over the documents.
 
-Defined results: null and empty texts share nothing; items of fewer than min_match tokens never match; repeated items or
-rows give repeated results; an empty table on either side gives no rows.
+Defined results: null and empty texts share nothing; items of fewer than min_match tokens never match; rows that repeat
+give repeated results, items that repeat (id and text) count once; ids may be null; of equally long matches the first in the item and then
+in the text is marked; an empty table on either side gives no rows; other columns of either table don't matter.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from factweave.llm.common import map_batches, small_rows, texts_of
+from factweave.llm.common import map_batches, texts_of
 from factweave.llm.shingles import mix
 
 TOKEN = re.compile(r"\w+")
@@ -46,63 +49,83 @@ def run_hashes(ids: np.ndarray, size: int) -> np.ndarray:
 def tile(pattern: list[int], text: list[int], min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: (start in pattern, start in text, length) of the longest matches, none overlapping another.
 
-    Negative text tokens match nothing.
+    Negative text tokens match nothing.  The length of the longest unmarked match is found by bisection, as each part of
+    a match is one: Karp-Rabin hashes of all unmarked runs of a length tell whether pattern and text share one.
+    Matches of that length are marked from left to right.  So a tiling takes linear time for each length that it
+    marks, whatever repeats in pattern or text.
     """
-    free_p, free_t = [True] * len(pattern), [t >= 0 for t in text]
+    p, t = np.array(pattern, np.int64), np.array(text, np.int64)
+    free_p, free_t = np.ones(len(p), bool), t >= 0
+    sums_p, sums_t = _rolling(p), _rolling(t)
     tiles: list[tuple[int, int, int]] = []
-    size = max(min_match, min(20, len(pattern)))
+    most = len(p)
     while True:
-        longest, queue = _scan(pattern, text, free_p, free_t, size)
-        if longest > 2 * size:  # a far longer match: look for that length first
-            size = longest
-            continue
-        for length, p, t in sorted(queue, key=lambda x: (-x[0], x[1], x[2])):
-            # The part still free at the front; a rest behind a mark is found again at a smaller size.
-            k = 0
-            while k < length and free_p[p + k] and free_t[t + k]:
-                k += 1
-            if k < size:
-                continue
-            free_p[p : p + k] = [False] * k
-            free_t[t : t + k] = [False] * k
-            tiles.append((p, t, k))
-        if queue:  # unmarked matches of this size may be left
-            continue
-        if size == min_match:
+        low, high, best = min_match, most, None
+        while low <= high:  # the largest length that both sides share
+            size = (low + high) // 2
+            at = _shared(sums_p, sums_t, free_p, free_t, size)
+            if at is not None:
+                low, best = size + 1, (size, *at)
+            else:
+                high = size - 1
+        if best is None:
             return tiles
-        size = max(min_match, size // 2)
-
-
-def _scan(pattern: list[int], text: list[int], free_p: list[bool], free_t: list[bool], size: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """Running Karp-Rabin: maximal unmarked matches of at least `size` tokens."""
-    starts: dict[int, list[int]] = {}
-    for t, h in _rolling(text, free_t, size):
-        starts.setdefault(h, []).append(t)
-    longest, queue = 0, []
-    for p, h in _rolling(pattern, free_p, size):
-        for t in starts.get(h, ()):
-            k = 0
-            while p + k < len(pattern) and t + k < len(text) and pattern[p + k] == text[t + k] and free_p[p + k] and free_t[t + k]:
-                k += 1
-            if k >= size:
-                longest = max(longest, k)
-                queue.append((k, p, t))
-    return longest, queue
-
-
-def _rolling(seq: list[int], free: list[bool], size: int, base: int = 1_000_003, mod: int = (1 << 61) - 1) -> Iterator[tuple[int, int]]:
-    """Start and rolling hash of each run of `size` free tokens."""
-    lead, h, run = pow(base, size, mod), 0, 0
-    for k, token in enumerate(seq):
-        if not free[k]:
-            h = run = 0
-            continue
-        h = (h * base + token + 7) % mod
-        run += 1
-        if run > size:
-            h = (h - (seq[k - size] + 7) * lead) % mod
-        if run >= size:
-            yield k - size + 1, h
+        size, starts_p, hash_p, starts_t, hash_t = best
+        # Text places of each hash, in order; those before `next_` are marked.
+        order = np.argsort(hash_t, kind="stable")
+        keys, first = np.unique(hash_t[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        next_ = first.copy()
+        done = -1
+        for i, h in zip(starts_p.tolist(), hash_p, strict=True):
+            if i <= done:
+                continue
+            k = int(np.searchsorted(keys, h))
+            if k == len(keys) or keys[k] != h:
+                continue
+            at = next_[k]
+            while at < ends[k]:
+                j = int(starts_t[order[at]])
+                if free_t[j] and free_t[j + size - 1]:
+                    break
+                at += 1
+            next_[k] = at
+            if at < ends[k] and np.array_equal(p[i : i + size], t[j : j + size]):
+                free_p[i : i + size] = free_t[j : j + size] = False
+                tiles.append((i, j, size))
+                done = i + size - 1
+        most = size if tiles and tiles[-1][2] == size and size > min_match else size - 1
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)))
+
+
+def _rolling(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial hash, and the powers that shift a difference of two to the front."""
+    spread = mix(seq.astype(np.uint64) + np.uint64(7))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread * _powers(_BASE, len(seq))[:-1], dtype=np.uint64))), _powers(_BACK, len(seq))
+
+
+def _runs(sums: tuple[np.ndarray, np.ndarray], free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each run of `size` free tokens."""
+    count = np.concatenate(([0], np.cumsum(free)))
+    at = np.flatnonzero(count[size:] - count[:-size] == size) if len(free) >= size else np.zeros(0, np.int64)
+    return at, (sums[0][at + size] - sums[0][at]) * sums[1][at]
+
+
+def _shared(sums_p, sums_t, free_p: np.ndarray, free_t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Starts and hashes of the unmarked runs of a length that stand on both sides; None if there are none."""
+    at_p, hash_p = _runs(sums_p, free_p, size)
+    if not len(at_p):
+        return None
+    at_t, hash_t = _runs(sums_t, free_t, size)
+    on_p, on_t = np.isin(hash_p, hash_t), np.isin(hash_t, hash_p)
+    return (at_p[on_p], hash_p[on_p], at_t[on_t], hash_t[on_t]) if on_p.any() else None
 
 
 class Items:
@@ -114,81 +137,90 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.tokens = [[number(w, len(self.vocabulary)) for w in tokens(text or "")] for _, text in rows]
         seeds = [run_hashes(np.array(t, np.int64), min_match) for t in self.tokens]
-        sizes = [len(s) for s in seeds]
         flat = np.concatenate([np.zeros(0, np.uint64), *seeds])
         order = np.argsort(flat, kind="stable")
         self.seeds = flat[order]
-        self.item = np.repeat(np.arange(len(rows)), sizes)[order]
-        self.start = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])[order]
+        self.item = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])[order]
+        #: Where an item's tokens begin among those of all items, and where each seed stands there.
+        self.begin = np.concatenate(([0], np.cumsum([len(t) for t in self.tokens])))
+        self.place = np.concatenate([np.zeros(0, np.int64), *(self.begin[k] + np.arange(len(s)) for k, s in enumerate(seeds))])[order]
         self.min_match = min_match
 
     def matches(self, docs: list[list[str]], coverage: float) -> list[tuple[int, int, int, int, int]]:
         """(document, item, covered tokens, item tokens, tiles) over the coverage."""
-        out, m, get = [], self.min_match, self.vocabulary.get
-        flat = np.array([x for words in docs for x in (*[get(w, -1) for w in words], -1)], np.int64)
-        if len(flat) < m or not len(self.seeds):
-            return out
-        ends = np.cumsum([len(w) + 1 for w in docs])
-        known = flat >= 0
-        whole = np.convolve(known, np.ones(m, np.int64), "valid") == m
-        at = np.flatnonzero(whole)
-        if not len(at):
+        out: list[tuple[int, int, int, int, int]] = []
+        m, get = self.min_match, self.vocabulary.get
+        if not len(self.seeds):
             return out
-        h = np.zeros(len(at), np.uint64)
-        for k in range(m):
-            h = mix(h + flat[at + k].astype(np.uint64) + np.uint64(k + 1))
-        lo, hi = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        hit = hi > lo
-        if not hit.any():
-            return out
-        at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
-        # Each hit times its seeds: document, item, place in both.
-        place = np.repeat(at, n)
-        seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, item, start = np.searchsorted(ends, place, "right"), self.item[seed], self.start[seed]
-        order = np.lexsort((place, item, doc))
-        doc, item, start, place = doc[order], item[order], start[order], place[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))))[: len(doc)]
-        for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-            pattern = self.tokens[item[a]]
-            could = np.zeros(len(pattern), bool)
-            for k in range(m):
-                could[start[a:b] + k] = True
-            if could.sum() < coverage * len(pattern):  # no tile lies outside a seed
+        for doc, words in enumerate(docs):
+            ids = np.array([get(w, -1) for w in words], np.int64)
+            if len(ids) < m:
                 continue
+            missing = np.concatenate(([0], np.cumsum(ids < 0)))
+            at = np.flatnonzero(missing[m:] == missing[:-m])
+            if not len(at):
+                continue
+            h = np.zeros(len(at), np.uint64)
+            for k in range(m):
+                h = mix(h + ids[at + k].astype(np.uint64) + np.uint64(k + 1))
+            lo, hi = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
+            hit = hi > lo
+            if hit.any():
+                out += [(doc, *x) for x in self._tiled(ids, at[hit], lo[hit], hi[hit], coverage)]
+        return out
+
+    def _tiled(self, ids: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int, int]]:
+        """Items of one document whose tiles cover enough; at: places of shared runs, lo and hi: their seeds.
+
+        Each distinct run is looked up once, so a document lists every seed of the block at most once, however often
+        its runs repeat and however many items share them.
+        """
+        m = self.min_match
+        first, which = np.unique(lo, return_index=True)
+        n = hi[which] - first
+        seeds = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # No tile lies outside a seed: items whose seeds cover too little are out.
+        places = np.unique((self.place[seeds][:, None] + np.arange(m)).ravel())
+        held = np.searchsorted(self.begin, places, "right") - 1
+        items, counts = np.unique(held, return_counts=True)
+        for item in items[counts >= coverage * (self.begin[items + 1] - self.begin[items])].tolist():
+            pattern = self.tokens[item]
+            own = np.unique(seeds[self.item[seeds] == item])
+            spots = at[np.isin(lo, first[np.searchsorted(first, own, "right") - 1])]
             text: list[int] = []
             last = -1
-            for p in np.unique(place[a:b]).tolist():  # the stretches that hold seeds, kept apart
+            for p in spots.tolist():  # the stretches that hold seeds, kept apart
                 if p > last:
                     text.append(-1)
                     last = p
-                text += flat[last : p + m].tolist()
+                text += ids[last : p + m].tolist()
                 last = p + m
             tiles = tile(pattern, text, m)
             covered = sum(k for _, _, k in tiles)
             if covered >= coverage * len(pattern):
-                out.append((int(doc[a]), self.ids[item[a]], covered, len(pattern), len(tiles)))
-        return out
+                yield self.ids[item], covered, len(pattern), len(tiles)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """id, item_id, covered, item_tokens, n_tiles and share, for each document and item whose tiles cover enough of it."""
-    return reduce(DataFrame.unionByName, [_against(docs, block, id_col, text_col, coverage) for block in item_blocks(benchmark, min_match)])
+    kind = benchmark.select("item_id").schema[0].dataType
+    return reduce(DataFrame.unionByName, [_against(docs, block, kind, id_col, text_col, coverage) for block in item_blocks(benchmark, min_match)])
 
 
 def item_blocks(benchmark: DataFrame, min_match: int) -> Iterator[Items]:
     """The items in blocks of bounded size, by hash."""
-    items = benchmark.select("item_id", "text")
+    items = benchmark.select("item_id", "text").distinct()
     size = items.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-(size.chars or 0) // BLOCK_CHARS), -(-2 * size.n // BLOCK_ITEMS))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield Items([(r.item_id, r.text) for r in small_rows(block, BLOCK_ITEMS, "a block of benchmark items")], min_match)
+        yield Items([(r.item_id, r.text) for r in block.collect()], min_match)
 
 
-def _against(docs: DataFrame, items: Items, id_col: str, text_col: str, coverage: float) -> DataFrame:
+def _against(docs: DataFrame, items: Items, item_kind: DataType, id_col: str, text_col: str, coverage: float) -> DataFrame:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    item_type = to_arrow_type(item_kind)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = shared.value.matches([tokens(t) for t in texts_of(batch.column(1))], coverage)
@@ -196,11 +228,11 @@ def _against(docs: DataFrame, items: Items, id_col: str, text_col: str, coverage
             return None
         doc, item, covered, length, tiles = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (item, covered, length, tiles)), pa.array([c / n for c, n in zip(covered, length, strict=True)])],
+            [batch.column(0).take(pa.array(doc)), pa.array(item, item_type), *(pa.array(x, pa.int64()) for x in (covered, length, tiles)), pa.array([c / n for c, n in zip(covered, length, strict=True)])],
             names=[id_col, "item_id", "covered", "item_tokens", "n_tiles", "share"],
         )
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, item_id long, covered long, item_tokens long, n_tiles long, share double")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, item_id {item_kind.simpleString()}, covered long, item_tokens long, n_tiles long, share double")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_match: int = 5, coverage: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -176,6 +177,24 @@ def test_tiling_equals_brute_force():
         assert sum(x[2] for x in decontam.tile(p, t, 3)) == sum(x[2] for x in brute_tiles(p, t, 3))
 
 
+def test_tiling_of_repeated_tokens_takes_linear_time():
+    began = time.time()
+    assert decontam.tile([1] * 1000, [1] * 100_000, 5) == [(0, 0, 1000)]
+    assert sum(x[2] for x in decontam.tile([1] * 1000, ([1] * 999 + [-1]) * 100, 5)) == 999
+    assert sum(x[2] for x in decontam.tile([1, 2] * 500, ([1, 2] * 6 + [3]) * 8000, 5)) >= 990
+    assert time.time() - began < 20
+
+
+def test_items_that_share_runs(spark):
+    common = " ".join(f"c{k}" for k in range(12))
+    items = [(f"i{k}", f"{common} {' '.join(f'x{k}y{j}' for j in range(6))}", 1) for k in range(300)] * 2 + [(None, common, 1)]
+    bench = spark.createDataFrame(items, "item_id string, text string, doc_id long")
+    docs = spark.createDataFrame([(1, f"{common} " * 300, "z"), (1, f"{common} " * 300, "z"), (None, common, "z"), (3, "c0 c1 c2 c3 c4", "z")], "doc_id long, text string, item_id string")
+    found = decontam.contaminated(docs, bench).collect()
+    assert len(found) == 3 * 301 and {(r.covered, r.item_tokens) for r in found} == {(12, 18), (12, 12)}
+    assert [r.doc_id for r in decontam.decontaminated(docs, bench).collect()] == [3]
+
+
 def test_contamination(spark):
     words = [f"w{k}" for k in range(60)]
     items = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[30:])), (3, "too short"), (4, None)], "item_id long, text string")
