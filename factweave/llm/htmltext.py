@@ -10,13 +10,18 @@ The winners are few per host.  If there are at most `MOST_WINNERS` they are sent
 with hot hosts dealt over `SALTS` parts.
 
 Defined results: null and empty html give an empty text; a page without any container with text gives an empty text; a
-null url is a host of its own; rows that repeat keep their own results.
+null url is a host of its own; rows that repeat keep their own results, and an empty table gives none; of containers
+with equal scores the innermost, then the first, is taken; other columns of pages aren't carried.  Nesting of any depth takes linear time.
+
+Page furniture: the elements in SKIPPED, the roles in ROLES, and elements whose class or id ends in a word of furniture.
+A header inside an article that holds a heading is the article's own.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -31,7 +36,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 #: Elements whose content isn't text, those whose content is no part of an article, and those without content.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIPPED = frozenset("script style head title template noscript nav header footer aside form button select textarea menu dialog iframe object svg canvas audio video math input label fieldset figure".split()) - {"figure"}
+SKIPPED = frozenset("script style head title template noscript nav header footer aside form button select textarea menu dialog iframe object svg canvas audio video input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block of text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -49,36 +54,79 @@ CLOSES = {
 }
 #: Elements that keep such a closing from going further out.
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dd": frozenset(["dl"]), "dt": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"])}
-#: Words in class, id or role that mark page furniture.
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widgets?|related|recommend\w*|share|social|follow|comments?|comment-?list|replies|reply|discussion|disqus|"
-    r"footer|foot|header|masthead|toolbar|pagination|pager|search|skip|copyright|legal|disclaimer|tags?|meta|byline|print|hidden)(?:$|[\s_-])",
-    re.I,
+#: Last words of a class or id that mark page furniture, and words that say nothing when they stand after them.
+FURNITURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription "
+    "signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side widget widgets related recommended recommendations share sharing social follow comment comments commentlist respond replies reply discussion disqus "
+    "footer foot header masthead toolbar pagination pager search searchbox skip disclaimer alert".split()
 )
+GENERIC = frozenset("list box bar area block section container wrapper wrap inner outer content body text item items row col column panel holder group links link thread form left right top bottom main unit slot label title heading".split())
+#: What follows "related" and the like where other pages are listed, not the article's own section.
+ELSEWHERE = frozenset("posts post articles article stories story news reading pages topics videos".split())
+PARTS = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 WHITE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 
 
-@dataclass
+def is_furniture(marks: str) -> bool:
+    """Whether a class or id names page furniture: the last word decides, so print-article and related-work don't."""
+    for mark in marks.split():
+        parts = [x.lower() for x in PARTS.findall(mark)]
+        while len(parts) > 1 and parts[-1] in GENERIC:
+            parts.pop()
+        if parts and (parts[-1] in FURNITURE or len(parts) > 1 and parts[-1] in ELSEWHERE and parts[-2] in ("related", "recommended", "more", "similar")):
+            return True
+    return False
+
+
+@dataclass(eq=False)
 class Node:
+    """An element; skipped and furniture hold for all below it.  Trees can be deep, so nothing here recurses."""
+
     tag: str
     name: str
     parent: Node | None
-    skipped: bool
+    depth: int = 0
+    skipped: bool = False
     furniture: bool = False
     children: list[Node | str] = field(default_factory=list)
+    #: Innermost element that ends a block, this one included; how many inline elements are open in it, by tag.
+    block: Node | None = None
+    open: Counter = field(default_factory=Counter)
+    #: Innermost header inside an article: with a heading it belongs to the article.
+    header: Node | None = None
+    in_article: bool = False
 
     def path(self) -> str:
-        return f"{self.parent.path()}/{self.name}" if self.parent and self.parent.parent else self.name
+        names, node = [], self
+        while node is not None and node.parent is not None:
+            names.append(node.name)
+            node = node.parent
+        return "/".join(reversed(names))
 
 
 def parse(source: str) -> Node:
-    """Tree of a page; lenient like browsers: stray end tags are ignored, open elements end with their parents."""
-    root = Node("#", "", None, False)
+    """Tree of a page; lenient like browsers: stray end tags are ignored, open elements end with their parents.
+
+    Counts of open elements tell at once whether an end tag has anything to end, so nested or stray tags cost linear time.
+    """
+    root = Node("#", "", None)
+    root.block = root
     node, last = root, 0
     position = 0
+    open_blocks: Counter = Counter()
+
+    def close(to: Node) -> Node:
+        x = node
+        while x is not to:
+            if x.block is x:
+                open_blocks[x.tag] -= 1
+            else:
+                x.block.open[x.tag] -= 1
+            x = x.parent
+        return to
+
     while m := TOKEN.search(source, position):
         if m.start() > last:
             node.children.append(source[last : m.start()])
@@ -90,29 +138,30 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up: Node | None = node
-            while up is not root and up.tag != tag:
-                # an inline end tag can't close a block
-                up = root if tag not in BLOCKS and up.tag in BLOCKS else up.parent
-            if up is not root:
-                node = up.parent
+            # an inline end tag can't close a block
+            if (open_blocks if tag in BLOCKS else node.block.open)[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(up.parent)
             continue
         if tag in CLOSES:
-            up, scope, shut = node, SCOPES.get(tag, frozenset()), None
-            while up is not root and up.tag not in scope:
-                if up.tag in CLOSES[tag]:
-                    shut = up
-                elif up.tag in BLOCKS and up.tag not in CLOSES[tag]:
-                    break
-                up = up.parent
+            up, scope, shut = node.block, SCOPES.get(tag, frozenset()), node if tag == node.tag == "option" else None
+            while up is not root and up.tag not in scope and up.tag in CLOSES[tag]:
+                shut, up = up, up.parent.block
             if shut is not None:
-                node = shut.parent
+                node = close(shut.parent)
         attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
         classes = sorted({DIGITS.sub("", c) for c in attributes.get("class", "").split()} - {""})
         marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        furniture = tag not in ("body", "html", "main", "article") and (bool(marks.strip() and FURNITURE.search(marks)) or attributes.get("role", "").lower() in ROLES)
+        furniture = tag not in ("body", "html", "main", "article") and (bool(marks.strip()) and is_furniture(marks) or attributes.get("role", "").lower() in ROLES)
         gone = "hidden" in re.split(r"[\s=]+", m[3].lower()) or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        child = Node(tag, ".".join([tag, *classes]), node, node.skipped or tag in SKIPPED or gone, furniture)
+        child = Node(tag, ".".join([tag, *classes]), node, node.depth + 1, tag in SKIPPED or gone, furniture)
+        child.block = child if tag in BLOCKS else node.block
+        child.in_article = node.in_article or tag == "article"
+        child.header = child if node.in_article and not gone and (tag == "header" or furniture and "header" in marks.lower()) else node.header
+        if tag in ("h1", "h2") and child.header is not None:
+            child.header.skipped = child.header.furniture = False
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, position)
@@ -120,57 +169,59 @@ def parse(source: str) -> Node:
             if tag in ("textarea", "title"):
                 child.children.append(source[position:stop])
             position = last = source.find(">", stop) + 1 if end and source.find(">", stop) >= 0 else len(source)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and (not m[3].endswith("/") or tag in BLOCKS):
             node = child
-        elif tag not in VOID:
-            node = child if tag in BLOCKS else node
+            if tag in BLOCKS:
+                open_blocks[tag] += 1
+            else:
+                child.block.open[tag] += 1
     if last < len(source):
         node.children.append(source[last:])
     return root
 
 
-def blocks(node: Node, keep_furniture: bool = False) -> list[tuple[str, int]]:
-    """Texts of the blocks under a node, in page order, and how many of their characters stand in links."""
-    out: list[tuple[str, int]] = []
+def blocks(node: Node) -> list[tuple[str, int, Node]]:
+    """Texts of the blocks under a node, in page order, how many of their characters stand in links, and the innermost container of each."""
+    out: list[tuple[str, int, Node]] = []
     parts: list[str] = []
-    linked = 0
+    linked, owner = 0, node
 
     def end() -> None:
         nonlocal linked
         text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append((text, linked))
+            out.append((text, linked, owner))
         parts.clear()
         linked = 0
 
-    todo: list[tuple[Node | str | None, bool]] = [(node, False)]
-    first = True
+    todo: list[tuple[Node | str | None, bool, Node]] = [(node, False, node)]
     while todo:
-        item, link = todo.pop()
+        item, link, inside = todo.pop()
         if item is None:
             end()
         elif isinstance(item, str):
             parts.append(item)
+            owner = inside
             linked += len(item.strip()) if link else 0
         else:
-            if item.skipped or item.furniture and not keep_furniture and not first:
+            if item.skipped or item.furniture and item is not node:
                 if item.tag in BLOCKS:
                     end()
                 continue
-            first = False
             if item.tag == "br":
                 parts.append(" ")
                 continue
             if item.tag in BLOCKS:
                 end()
-                todo.append((None, False))
-            inside = link or item.tag == "a"
-            todo.extend((c, inside) for c in reversed(item.children))
+                todo.append((None, False, inside))
+            within = item if item.tag in CONTAINERS else inside
+            todo.extend((c, link or item.tag == "a", within) for c in reversed(item.children))
     end()
     return out
 
 
 def containers(root: Node) -> list[Node]:
+    """Containers in page order, an outer one before those in it."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -182,25 +233,40 @@ def containers(root: Node) -> list[Node]:
     return out
 
 
-def score(node: Node) -> float:
-    """How much the node looks like the page's article: unlinked text and sentences, more for semantic tags."""
-    total = 0.0
-    for text, linked in blocks(node):
+def scores(root: Node) -> list[tuple[float, Node]]:
+    """How much each container looks like the page's article: unlinked text and sentences, more for semantic tags.
+
+    Every block is measured once, for its innermost container; sums go from the inside out.
+    """
+    total: dict[Node, float] = {}
+    for text, linked, owner in blocks(root):
         plain = len(text) - min(len(text), 2 * linked)
-        total += plain * (1.0 if len(text) >= 40 else 0.6) + 15 * sum(text.count(c) for c in ".!?")
-    weight = {"article": 1.3, "main": 1.15, "body": 0.85, "#": 0.8}.get(node.tag, 1.0)
-    if re.search(r"article|content|entry|post|story|text|main", node.name, re.I):
-        weight *= 1.15
-    return total * weight
+        total[owner] = total.get(owner, 0.0) + plain * (1.0 if len(text) >= 40 else 0.6) + 15 * sum(text.count(c) for c in ".!?")
+    out, outer, todo = [], {}, [(root, root)]
+    while todo:
+        node, around = todo.pop()
+        if node.skipped or node.furniture:
+            continue
+        if node.tag in CONTAINERS:
+            outer[node] = around
+            around = node
+        todo.extend((c, around) for c in node.children if isinstance(c, Node))
+    for node in reversed(containers(root)):
+        own = total.get(node, 0.0)
+        if node is not root:
+            total[outer[node]] = total.get(outer[node], 0.0) + own
+        weight = {"article": 1.3, "main": 1.15, "body": 0.85, "#": 0.8}.get(node.tag, 1.0)
+        if re.search(r"article|content|entry|post|story|text|main", node.name, re.I):
+            weight *= 1.15
+        out.append((own * weight, node))
+    return out
 
 
 def best(root: Node) -> Node | None:
-    """The container with the highest score; of containers with nearly the same text the innermost."""
-    ranked = [(score(n), n) for n in containers(root)]
-    if not ranked:
-        return None
-    top = max(s for s, _ in ranked)
-    return max((x for x in ranked if x[0] >= top), key=lambda x: len(x[1].path()))[1] if top > 0 else None
+    """The container with the highest score; of equal ones the innermost, then the first."""
+    ranked = scores(root)
+    top = max(x for x, _ in ranked) if ranked else 0.0
+    return max((n for x, n in reversed(ranked) if x >= top), key=lambda n: n.depth) if top > 0 else None
 
 
 def vote(source: str) -> str | None:
@@ -212,20 +278,21 @@ def extract(source: str, paths: list[str]) -> str:
     """Text of the containers on the winning paths, outermost only; of the page's own best container if none matches."""
     root = parse(source)
     chosen: list[Node] = []
-    if paths:
-        wanted, todo = set(paths), [root]
-        while todo:
-            node = todo.pop()
-            if node.skipped or node.furniture:
-                continue
-            if node.path() in wanted:
-                chosen.append(node)
-            else:
-                todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-    if not any(blocks(n) for n in chosen):
-        own = best(root)
-        chosen = [own] if own is not None else []
-    return "\n\n".join(text for n in chosen for text, _ in blocks(n))
+    # Each element with the paths that lead on from it, and how much of them it has used.
+    todo: list[tuple[Node, list[tuple[str, int]]]] = [(c, [(p, 0) for p in paths]) for c in reversed(root.children) if isinstance(c, Node)]
+    while todo and paths:
+        node, ways = todo.pop()
+        if node.skipped or node.furniture:
+            continue
+        on = [(p, at + len(node.name)) for p, at in ways if p.startswith(node.name, at)]
+        if any(at == len(p) for p, at in on):
+            chosen.append(node)
+        elif on := [(p, at + 1) for p, at in on if p.startswith("/", at)]:
+            todo.extend((c, on) for c in reversed(node.children) if isinstance(c, Node))
+    texts = [text for n in chosen for text, _, _ in blocks(n)]
+    if not texts and (own := best(root)) is not None:
+        texts = [text for text, _, _ in blocks(own)]
+    return "\n\n".join(texts)
 
 
 def host_paths(pages: DataFrame, least_share: float = 0.3, id_col: str = "page_id") -> DataFrame:
@@ -259,7 +326,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         return map_batches(each, run, out)
 
     salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = each.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    dealt = each.withColumn("salt", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "url"), F.lit(SALTS)).cast("int"))  # copies of a page are dealt out too
     both = dealt.join(salted, ["host", "salt"], "left").select(id_col, "url", "html", "paths")
 
     def run_joined(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -311,6 +311,34 @@ def test_main_text(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_article_parts_that_are_no_furniture():
+    text = "<p>Words of the article stand here, and there are quite a few of them. More follow.</p>"
+    page = f"<body><div class='site-header'><p>Site</p></div><div class='print-article'>{text}</div><div class='article-comments'>{text}</div><div class='related-posts'><p>Other</p></div></body>"
+    assert htmltext.extract(page, []) == "Words of the article stand here, and there are quite a few of them. More follow."
+    page = f"<article><header><h1>Title</h1></header>{text}<div class='related-work'>{text}</div><fieldset><p>In a set.</p></fieldset><header><p>Gone</p></header><footer>Gone</footer></article>"
+    assert htmltext.extract(page, []).split("\n\n") == ["Title", *["Words of the article stand here, and there are quite a few of them. More follow."] * 2, "In a set."]
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "a word. " * 9, "<b>" * 100_000 + "a word." + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "w" + "<p>x</p>" * 50_000, "<li>" * 100_000 + "end", "<" * 100_000, '<a "' * 50_000])
+def test_nested_and_stray_tags_take_linear_time(source):
+    began = time.time()
+    path = htmltext.vote(source)
+    assert htmltext.extract(source, [path] if path else []) == htmltext.extract(source, [])
+    assert time.time() - began < 20
+
+
+def test_scores_equal_those_of_each_container_alone():
+    """Sums from the inside out are what measuring every container by itself gives."""
+    rng = random.Random(4)
+    for _ in range(200):
+        source = "".join(rng.choice(["<div>", "</div>", "<p>", "<section class='entry-x'>", "</section>", "<a>Linked words. </a>", "<aside>", "</aside>", "Some words. ", "a much longer text that has more than forty characters! "]) for _ in range(60))
+        root = htmltext.parse(source)
+        for score, node in htmltext.scores(root):
+            own = sum((len(t) - min(len(t), 2 * k)) * (1.0 if len(t) >= 40 else 0.6) + 15 * sum(t.count(c) for c in ".!?") for t, k, _ in htmltext.blocks(node))
+            weight = {"#": 0.8}.get(node.tag, 1.0) * (1.15 if "entry" in node.name else 1.0)
+            assert score == pytest.approx(own * weight)
+
+
 def test_main_text_with_many_winners(spark, monkeypatch):
     df = spark.createDataFrame([(k, "http://h.example/", PAGE % "story") for k in range(5)], "page_id long, url string, html string")
     monkeypatch.setattr(htmltext, "MOST_WINNERS", 0)
