@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Grammar.  A lexicon transducer turns words into classes with weights: insults (whole words and word beginnings, learned
-from labels), threats, targets, negation and reported speech (small fixed lists).  A clause transducer reads the classes
-of one clause from left to right.  Its states are plain, negated (a few words after a negation), reported (after a verb
-of saying or inside quotes), each with or without a target seen; an insult or threat emits its weight into the channel of
-the state it meets.  The two are composed: an Aho-Corasick pass over the whole text finds the words that can emit, and
-only their clauses are read.  A document's score is a logistic function of what its clauses emitted, fitted on labels.
-
-Learning uses a bounded sample of labelled rows (`max_train`, chosen by hash of the id); fitting of the final function
+Grammar.  A lexicon machine turns words into symbols with weights: insults (whole words and word beginnings, learned
+from labels), threats, targets, negation, verbs of saying, quotation marks and other words.  Five transducers over these
+symbols (insult and threat mark what can offend, negation, reported speech and target say how it stands) are composed
+into one clause machine; it has a path for every clause, and writes each insult or threat with its weight to a channel: plain,
+at a target, negated or reported.  The target machine guesses at the start of a clause whether a target will come, and
+only the guess that comes true accepts, so words before their target count as well.
+An Aho-Corasick pass over the whole text finds the words that can offend, and only their clauses are read.  A document's
+score is a logistic function of what its clauses wrote, fitted on labels.
+
+Learning uses a bounded sample of labelled rows (at most about `max_train` rows and `max_chars` characters, chosen by hash of the id); fitting of the final function
 uses scores from a lexicon learned on the other half of the sample.
 
 Defined results: null and empty texts score what a text without matches scores; with no labelled rows, or labels of one
-kind only, every score is the share of label 1 (0 if there are none).
+kind only, every score is the share of label 1 (0 if there are none); rows that repeat keep their own scores, an empty
+table gives no rows, and other columns of the tables don't matter.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_batches, share_of_hash, texts_of
+from factweave.llm.common import discard, map_batches, share_of_hash, stored, texts_of
 from factweave.llm.shingles import shingle_hashes, word_hashes
+from factweave.llm.transducers import Transducer, machine
 
 WORD = re.compile(r"[^\W\d_]+")
+TOKENS = re.compile(r"[^\W\d_]+|[\"“”«»]")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 #: Fixed word lists of the four closed classes.
 NEGATION = "not never no isn aren wasn don doesn didn nicht kein keine nie pas jamais ne nunca jamás".split()
@@ -42,6 +47,42 @@ REACH, PREFIX = 3, range(4, 8)
 #: A lexicon entry needs this many toxic training texts, this share of them, this log odds, and this excess in standard deviations.
 MIN_TEXTS, MIN_SHARE, MIN_WEIGHT, MIN_Z = 4, 0.01, 1.2, 7.0
 CHANNELS = ("plain", "at_target", "negated", "reported")
+#: Symbols of a clause: insult, threat, target, negation, verb of saying, quotation mark, other word.
+SYMBOLS = "iktnrqo"
+QUOTES = frozenset("\"“”«»")
+
+
+def clause_machine() -> Transducer:
+    """Insult, threat, negation, reported speech and target machines, composed.  Symbol h stands for a word that can offend."""
+    kinds = dict(insult="i", threat="k", target="t", negation="n", report="r", quote="q", other="o")
+    offend = {kinds["insult"]: "h", kinds["threat"]: "h"}
+    insult = machine([0], [0], [(0, x, 0, "h" if x == "i" else x, 1.0) for x in kinds.values()])
+    threat = machine([0], [0], [(0, x, 0, offend.get(x, x), 1.0) for x in (*kinds.values(), "h") if x != "i"])
+    # State: how many further words a negation reaches.
+    rest = ["t", "r", "o"]
+    negation = machine([0], range(REACH + 1), [
+        *((k, "n", REACH, "n", 1.0) for k in range(REACH + 1)),
+        *((k, x, max(0, k - 1), x, 1.0) for k in range(REACH + 1) for x in rest),
+        *((k, "h", max(0, k - 1), "negated" if k else "h", 1.0) for k in range(REACH + 1)),
+        *((k, "q", k, "q", 1.0) for k in range(REACH + 1)),
+    ])
+    # State: a verb of saying was read; inside quotation marks.
+    states = [(said, inside) for said in (False, True) for inside in (False, True)]
+    report = machine([(False, False)], states, [
+        *(((s, q), x, (s, q), x, 1.0) for s, q in states for x in ("t", "n", "o", "negated")),
+        *(((s, q), "r", (True, q), "r", 1.0) for s, q in states),
+        *(((s, q), "q", (s, not q), "q", 1.0) for s, q in states),
+        *(((s, q), "h", (s, q), "reported" if s or q else "h", 1.0) for s, q in states),
+    ])
+    # State: no target in the clause; one will come; one has come.
+    target = machine(["none", "will", "has"][:2], ["none", "has"], [
+        *((s, x, s, x, 1.0) for s in ("none", "will", "has") for x in ("n", "r", "q", "o", "negated", "reported")),
+        ("none", "h", "none", "plain", 1.0), ("will", "h", "will", "at_target", 1.0), ("has", "h", "has", "at_target", 1.0),
+        ("will", "t", "has", "t", 1.0), ("has", "t", "has", "t", 1.0),
+    ])
+    return insult.compose(threat).compose(negation).compose(report).compose(target).numbered()
+
+
 
 
 @dataclass
@@ -59,6 +100,7 @@ class Grammar:
             self.finder.add_word(p, len(p))
         self.finder.make_automaton()
         self.closed = {w: "n" for w in NEGATION} | {w: "r" for w in REPORT} | {w: "t" for w in TARGET}
+        self.machine = clause_machine()
 
     def weight(self, word: str) -> float:
         """Lexicon transducer: a whole word's own weight, else that of its longest known beginning."""
@@ -69,29 +111,27 @@ class Grammar:
                 return self.prefixes[word[:n]]
         return 1.0 if word in THREAT else 0.0
 
-    def clause(self, text: str, out: dict[str, float]) -> int:
-        """Clause transducer: adds what the clause emits to the channels; returns the number of matched words."""
-        negated, reported, target, found, quotes = 0, False, False, 0, 0
-        pending: list[tuple[float, bool, bool]] = []
-        last = 0
-        for m in WORD.finditer(text):
-            quotes += sum(text.count(q, last, m.start()) for q in "\"“”«»")
-            last = m.end()
+    def symbols(self, clause: str) -> list[tuple[str, float]]:
+        """Lexicon machine: symbol and weight of each word and quotation mark; only words that can offend weigh something."""
+        out = []
+        for m in TOKENS.finditer(clause):
             word = m[0]
-            kind = self.closed.get(word)
-            if kind == "n":
-                negated = REACH + 1
-            elif kind == "r":
-                reported = True
-            elif kind == "t":
-                target = True
+            if word in QUOTES:
+                out.append(("q", 0.0))
+            elif (kind := self.closed.get(word)) is not None:
+                out.append((kind, 0.0))
             elif (w := self.weight(word)) > 0:
-                pending.append((w, negated > 0, reported or quotes % 2 == 1))
-                found += 1
-            negated -= negated > 0
-        for w, neg, rep in pending:
-            out["negated" if neg else "reported" if rep else "at_target" if target else "plain"] += w
-        return found
+                out.append(("k" if word in THREAT else "i", w))
+            else:
+                out.append(("o", 0.0))
+        return out
+
+    def clause(self, text: str, out: dict[str, float]) -> int:
+        """Adds what the clause machine writes for a clause to the channels; returns the number of words that can offend."""
+        read = self.symbols(text)
+        for channel, w in self.machine.run(read).items():
+            out[channel] += w
+        return sum(w > 0 for _, w in read)
 
     def features(self, text: str) -> list[float] | None:
         """What the whole text emits; None if nothing in it can."""
@@ -224,13 +264,15 @@ def hash_half(key: int) -> int:
     return (key * 0x9E3779B97F4A7C15 >> 40) & 1
 
 
-def train(labelled: DataFrame, max_train: int = 6_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
-    """Grammar from a hash sample of about max_train rows of id, text and label (0 or 1)."""
+def train(labelled: DataFrame, max_train: int = 6_000, max_chars: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
+    """Grammar from a hash sample of about max_train rows of id, text and label (0 or 1), and about max_chars characters at most."""
     good = labelled.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    n = good.select("id").count()
-    if n > max_train:
-        good = good.where(share_of_hash(F.col("id"), F.lit(max_train / n)))
-    rows = sorted((r.id, r.text or "", r.label) for r in good.collect())
+    good = stored(good, "labelled")
+    size = good.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    share = min(1.0, max_train / max(1, size.n), max_chars / max(1, size.chars or 0))
+    sample = good.where(share_of_hash(F.col("id"), F.lit(share))) if share < 1 else good
+    rows = sorted((r.id, r.text or "", r.label) for r in sample.collect())
+    discard(good)
     return learn(rows)
 
 

@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from factweave.llm import decontam, htmltext, langid, pieces, pii, quality, queries, tokens, toxicity, urls
+from factweave.llm import decontam, htmltext, langid, pieces, pii, quality, queries, tokens, toxicity, transducers, urls
 
 ODD = ["", None, " ", "   a   b  ", "\n\n", "a▁b", "aaaaaaaaaaaaaaaaaaaa", "日本語 🎉 é\u0000", "x" * 3000, " " * 500 + "y", "1 " * 2000, "\t\r\n　x"]
 
@@ -247,6 +247,49 @@ def test_grammar_reads_clauses():
     assert g.features("scummy weather, no match") is None
 
 
+def brute_channels(read):
+    """What a clause writes, by the rules themselves."""
+    out = Counter()
+    has_target = any(x == "t" for x, _ in read)
+    for k, (x, w) in enumerate(read):
+        if x not in "ik":
+            continue
+        before = read[:k]
+        words = [y for y, _ in before if y != "q"]
+        negated = "n" in words[-toxicity.REACH :]
+        reported = any(y == "r" for y, _ in before) or sum(y == "q" for y, _ in before) % 2 == 1
+        out["negated" if negated else "reported" if reported else "at_target" if has_target else "plain"] += w
+    return dict(out)
+
+
+def test_clause_machine_equals_rules_and_paths():
+    rng = random.Random(12)
+    m = toxicity.clause_machine()
+    for _ in range(400):
+        read = [(x, float(rng.randint(1, 9)) if x in "ik" else 0.0) for x in rng.choices(toxicity.SYMBOLS, k=rng.randint(0, 12))]
+        got = m.run(read)
+        assert got == brute_channels(read)
+        paths = list(m.paths([x for x, _ in read]))
+        assert len(paths) == 1  # unambiguous
+        sums = Counter()
+        for (out, w), (_, value) in zip(paths[0], read, strict=True):
+            if value:
+                sums[out] += w * value
+        assert dict(sums) == got
+
+
+def test_composition_equals_feeding_one_machine_to_the_other():
+    rng = random.Random(3)
+    def some(read, written):
+        return transducers.machine([0, 1], [1, 2], [(rng.randrange(3), rng.choice(read), rng.randrange(3), rng.choice(written), rng.randint(1, 5)) for _ in range(14)])
+    for _ in range(40):
+        a, b = some("xy", "uv"), some("uv", "pq")
+        for _ in range(5):
+            text = rng.choices("xy", k=4)
+            fed = sorted((tuple(o for o, _ in q), tuple(w * v for (_, w), (_, v) in zip(p, q, strict=True))) for p in a.paths(text) for q in b.paths([o for o, _ in p]))
+            assert sorted((tuple(o for o, _ in p), tuple(w for _, w in p)) for p in a.compose(b).numbered().paths(text)) == fed
+
+
 # -- urls ------------------------------------------------------------------------------------------
 def test_url_rules_equal_brute_force(spark):
     rng = random.Random(6)
