@@ -7,16 +7,18 @@ window's language probabilities.  A text's probabilities are the byte-weighted m
 At prediction time embeddings and filters are folded into lookup tables for byte pairs and single bytes, so a response is
 the sum of one or two table rows; windows of a batch are stacked and run a few hundred at a time.
 
-Training reads a bounded sample: `per_language` texts of each language, chosen by hash of the id, and at most
-`windows_each` windows of each.
+Training reads a bounded sample: of the `max_languages` most frequent languages about `per_language` texts each, chosen by
+hash of the id, and at most `windows_each` windows of each text and one cut short.
 
 Defined results: `und` with score 1 for null texts and texts without a letter; without training rows all texts are `und`
-with score 0; ties go to the language first in order.
+with score 0; ties go to the language first in order; rows that repeat keep their own results, an empty table gives no
+rows, and other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import map_batches, share_of_hash, small_rows, texts_of
+from factweave.llm.common import map_batches, share_of_hash, texts_of
 
 WINDOW, STEP = 192, 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
@@ -140,33 +142,43 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return Network(languages, p["embed"], [p[f"filter{k}"] for k in range(len(WIDTHS))], p["bias"], p["out"], p["out_bias"])
 
 
-def learn(docs: DataFrame, per_language: int = 400, windows_each: int = 6, max_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Network from rows with a language; None if there are none.  The counts read only id and language."""
+def learn(docs: DataFrame, per_language: int = 400, windows_each: int = 6, max_languages: int = 1_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+    """Network from rows with a language; None if there are none.
+
+    The counts read only id and language.  The texts of the sample are cut where they lie; only windows come to the driver.
+    """
     good = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = small_rows(good.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang"), max_languages, "languages")
+    counts = good.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return None
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(lang_col) == r.lang, F.lit(min(1.0, per_language / r.n))).otherwise(share)
-    rows = good.where(share_of_hash(F.col(id_col), share)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).collect()
-    languages = [r.lang for r in counts]
-    rng = np.random.default_rng(3)
-    windows, labels = [], []
-    for r in sorted((r for r in rows if r.text and LETTER.search(r.text)), key=lambda r: (r.id, r.lang, r.text)):
-        found, _, held = windows_of([r.text.encode("utf-8", "replace")])
-        found = found[(held >= 32) | (len(held) == 1)]
-        pick = rng.permutation(len(found))[:windows_each]
-        windows.append(found[pick])
-        labels += [languages.index(r.lang)] * len(pick)
-        # Short texts must be known too: a window cut after a few words.
-        cut = found[pick[:1]].copy()
-        cut[:, int(rng.integers(16, 96)) :] = 0
-        windows.append(cut)
-        labels += [languages.index(r.lang)] * len(cut)
-    if not labels:
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        languages, windows = [], []
+        for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            if not LETTER.search(text):
+                continue
+            data = text.encode("utf-8", "replace")
+            rng = np.random.default_rng(zlib.crc32(data))  # the same windows wherever the text is read
+            found, _, held = windows_of([data])
+            found = found[(held >= 32) | (len(held) == 1)]
+            pick = found[rng.permutation(len(found))[:windows_each]]
+            # Short texts must be known too: a window cut after a few words.
+            short = pick[:1].copy()
+            short[:, int(rng.integers(16, 96)) :] = 0
+            windows += [w.tobytes() for w in (*pick, *short)]
+            languages += [lang] * (len(pick) + len(short))
+        return pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
+
+    sample = good.where(share_of_hash(F.col(id_col), share)).select(F.col(lang_col).alias("lang"), F.col(text_col))
+    rows = sorted((r.lang, bytes(r.window)) for r in map_batches(sample, cut, "lang string, window binary").collect())
+    if not rows:
         return None
-    return train(np.concatenate(windows), np.array(labels), languages)
+    languages = sorted({x for x, _ in rows})
+    windows = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
+    return train(windows, np.array([languages.index(x) for x, _ in rows]), languages)
 
 
 def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
