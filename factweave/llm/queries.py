@@ -18,8 +18,9 @@ def tokenizer_file(name: str) -> str:
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", pii.in_order(pii.spans(F.col("text"), pii.learn(docs))).alias("found"))
-    base = F.filter("found", lambda x: x["base"])
+    found = pii.with_spans(docs.select("doc_id", "text"), pii.learn(docs)).select("doc_id", pii.in_order(F.col("found")).alias("found"))
+    found = found.select("doc_id", "found", F.filter("found", lambda x: x["base"]).alias("base"))
+    base = F.col("base")
     return found.select(
         "doc_id",
         *(F.size(F.filter(base, pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS),

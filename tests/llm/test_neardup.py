@@ -149,3 +149,41 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert counts[0] >= counts[1] > counts[2] > counts[3] == counts[4] == counts[5] > 0.7 * counts[0]
     assert docs.where("not round_trip").count() == 0
     assert docs.count() == corpus_pipeline.run(spark, sf).count()
+
+
+def test_pipeline_equals_plain_steps_on_odd_rows(spark, tmp_path):
+    """Every stage against a plain version, on nulls, empty texts, repeated rows and ids, ties and extra columns."""
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect()]
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    odd = [(9001, None, None, None, None), (9002, "", "en", "x", 0), (9002, "", "en", "x", 0), (None, "No id stands here.", "en", "x", 18), rows[0], rows[0], (9003, rows[1][1], "de", "y", 5), (9004, f"Before. {item} After.", "en", "x", 9), (9005, "Write to jo@ex.com or 10.0.0.1.", "en", "z", 31)]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame(rows + odd, schema).withColumn("bucket", F.lit(1)).withColumn("found", F.lit("f"))
+    counts = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        docs = neardup.stored(stage(spark, docs, sf), name)
+        after = docs.collect()
+        counts[name] = len(after)
+        if k < 4:
+            assert docs.columns == [*schema.names, "bucket", "found"]
+        if name == "toxicity":
+            assert set(map(str, after)) <= set(map(str, before)) and sum(r.doc_id is None for r in after) == 1
+        if name == "near_duplicates":
+            named = [r for r in before if r.doc_id is not None]
+            different = sorted({(r.doc_id, r.text) for r in named}, key=str)
+            roots = brute_classes([t for _, t in different])
+            classes = {}
+            for x, root in roots.items():
+                classes.setdefault(root, []).append(different[x])
+            wanted = sorted((min(c, key=lambda x: x[0]) for c in classes.values()), key=str)
+            assert sorted(((r.doc_id, r.text) for r in after if r.doc_id is not None), key=str) == wanted
+        if name == "decontamination":
+            assert {str(r) for r in before} - {str(r) for r in after} >= {str(r) for r in before if r.doc_id == 9004}
+        if name == "personal_data":
+            clean = {r.doc_id: r for r in after}
+            assert clean[9005].text == "Write to <EMAIL> or <IP>." and clean[9005].n_chars == len(clean[9005].text)
+            assert clean[9001].text is None and clean[9001].n_chars is None and len(after) == len(before)
+    assert counts["pieces"] == counts["personal_data"] and docs.where("not round_trip").count() == 0
+    assert docs.where("doc_id = 9001").first().n_tokens == 0

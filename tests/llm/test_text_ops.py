@@ -112,21 +112,51 @@ def test_base_spans_equal_brute_force(spark):
     texts = PII + ["".join(rng.choice("ab1234.@+-() ") for _ in range(60)) for _ in range(200)]
     docs = frame(spark, texts)
     model = pii.learn(docs)
-    found = pii.in_order(pii.spans(F.col("text"), model))
-    rows = docs.select("doc_id", pii.joined(F.filter(found, lambda x: x["base"])).alias("base"), pii.joined(found).alias("all"), pii.redacted(F.col("text"), pii.spans(F.col("text"), model)).alias("clean"))
+    found = pii.with_spans(docs, model).select("doc_id", "text", pii.in_order(F.col("found")).alias("found"))
+    rows = found.select("doc_id", "text", pii.joined(F.filter("found", lambda x: x["base"])).alias("base"), pii.joined(F.col("found")).alias("all"))
     for r in rows.collect():
         assert r.base == base_spans(texts[r.doc_id])
         assert set(r.base.split(",")) <= set(r.all.split(",")) | {""}
-    clean = {r.doc_id: r.clean for r in rows.collect()}
+    cleaned = pii.redacted(docs, model)
+    assert cleaned.columns == docs.columns
+    clean = {r.doc_id: r.text for r in cleaned.collect()}
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert 6 <= plan.count("regexp_extract_all") <= 7  # one for each form
     assert clean[texts.index("a@b.c")] == "<EMAIL>" and clean[1] is None
     assert clean[texts.index("call bob (at) example (dot) com")] == "call <EMAIL>"
 
 
 def test_supervision_prefers_labelers_that_agree():
-    counts = [("phone", "11---", 80), ("phone", "-1-0-", 5), ("card", "11---", 60), ("card", "00-0-", 40), ("card", "01---", 10)]
+    counts = [("phone", "11---", "size1|shapen|word", 80), ("phone", "-1-0-", "size1|shapes|word3", 5), ("card", "11---", "size2|shapes|word", 60), ("card", "00-0-", "size2|shapen|word9", 40), ("card", "01---", "size2|shapes|word", 10)]
     model = pii.supervise(counts)
     assert model.reliability["form"] > 0.8 and 0 < model.rate["card"] < 1
-    assert pii.learn is not None and pii.supervise([]).reliability
+    assert model.weights["card"]["word9"] < 0 < model.weights["card"]["0:1"]
+    assert pii.supervise([]).weights == {k: {} for k in pii.KINDS}
+
+
+def test_estimates_equal_plain_expectation_maximisation():
+    """One round over single spans, by Bayes' rule written out."""
+    counts = [("phone", "11---", 3), ("phone", "0---0", 2), ("ip", "1-1--", 4)]
+    acc, rate, posterior = pii.estimate(counts, 1)
+    expected = {}
+    for kind, votes, _ in counts:
+        yes = no = 0.5
+        for v in votes:
+            yes *= {"1": 0.8, "0": 0.2, "-": 1}[v]
+            no *= {"1": 0.2, "0": 0.8, "-": 1}[v]
+        expected[kind, votes] = yes / (yes + no)
+    assert posterior == pytest.approx(expected)
+    spans = [(k, v) for k, v, n in counts for _ in range(n)]
+    right = [expected[k, v] if v[0] == "1" else 1 - expected[k, v] for k, v in spans]
+    assert acc["form"] == pytest.approx(min(0.98, max(0.55, (sum(right) / 9 + 0.08) / 1.1)))
+    assert rate["phone"] == pytest.approx((sum(expected[k, v] for k, v in spans if k == "phone") / 9 + 0.05) / (5 / 9 + 0.1))
+
+
+def test_personal_data_of_an_empty_table(spark):
+    model = pii.learn(empty(spark))
+    assert pii.with_spans(empty(spark), model).count() == pii.redacted(empty(spark), model).count() == 0
+    clash = spark.createDataFrame([(1, "mail me: a@b.cc", "x", 2)], "doc_id long, text string, found2 string, _id long")
+    assert pii.redacted(clash, model).collect() == [(1, "mail me: <EMAIL>", "x", 2)]
 
 
 # -- language ---------------------------------------------------------------------------
@@ -148,6 +178,29 @@ def test_language_held_out(spark):
     assert langid.identified(docs.limit(1), None).first().lang_pred == "und"
 
 
+def test_folded_tables_equal_direct_convolution():
+    rng = np.random.default_rng(5)
+    sizes = [(w, langid.EMBED, langid.FILTERS) for w in langid.WIDTHS]
+    n = len(sizes) * langid.FILTERS
+    net = langid.Network(["a", "b", "c"], rng.normal(size=(256, langid.EMBED)), [rng.normal(size=x) for x in sizes], rng.normal(size=n), rng.normal(size=(n, 3)), rng.normal(size=3))
+    windows = rng.integers(0, 256, (9, langid.WINDOW)).astype(np.uint8)
+    got = net.probabilities(windows, net.tables())
+    for window, row in zip(windows, got, strict=True):
+        pooled = []
+        for f in net.filters:
+            for c in range(langid.FILTERS):
+                pooled.append(max(sum(float(net.embed[window[at + j]] @ f[j, :, c]) for j in range(len(f))) for at in range(langid.WINDOW - len(f) + 1)))
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+        assert row == pytest.approx(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), rel=1e-4)
+
+
+def test_windows_hold_every_byte():
+    texts = [b"", b"x", b"y" * langid.WINDOW, bytes(range(256)) * 9]
+    windows, owner, held = langid.windows_of(texts)
+    for k, text in enumerate(texts):
+        assert b"".join(w.tobytes()[:n] for w, o, n in zip(windows, owner, held, strict=True) if o == k) == text
+
+
 # -- decontamination ---------------------------------------------------------------------------
 def brute_tiles(p, t, least):
     free_p, free_t, tiles = [True] * len(p), [True] * len(t), []
