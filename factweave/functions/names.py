@@ -77,10 +77,25 @@ def in_subsequence(value: Column, query: str) -> Column:
 
 
 def fuzzy_subsequence(value: Column, query: str, most: int = 1) -> Column:
-    """In-order match that may skip up to `most` query characters."""
-    q = query.lower()
-    tries = {q} if len(q) <= 2 else {q[:k] + q[k + 1 :] for k in range(len(q))} | {q}
-    return reduce(lambda a, b: a | b, [in_subsequence(value, t) for t in sorted(tries)]) if most else in_subsequence(value, q)
+    """Whether the query's characters occur in order if up to `most` of them may stand for any other character.
+
+    A replaced character still takes up one of the value's.
+    """
+    q, low = query.lower(), F.lower(value)
+    if not q:
+        return F.lit(True)
+    # For each number of replacements the least end of the part of the value that is used up; null if it can't be.
+    ends: list[Column] = [F.lit(0)] + [F.lit(None).cast("int")] * most
+    for c in q:
+        now = []
+        for k in range(most + 1):
+            kept = F.nullif(F.call_function("locate", F.lit(c), low, ends[k] + 1), F.lit(0))
+            ways = [kept]
+            if k:
+                ways.append(F.when(ends[k - 1] < F.length(low), ends[k - 1] + 1))
+            now.append(F.least(*ways) if len(ways) > 1 else kept)
+        ends = now
+    return F.coalesce(*ends).isNotNull()
 
 
 def symbol_score(name: Column, qualified: Column, query: str) -> Column:
@@ -136,3 +151,29 @@ def module_name(path: Column) -> Column:
 
 def like_escaped(text: str) -> str:
     return re.sub(r"([\\%_])", r"\\\1", text)
+
+
+def singular(name: Column) -> Column:
+    """A plural name's singular by the usual endings."""
+    return F.regexp_replace(F.regexp_replace(name, r"(?<=[^aeiou])ies$", "y"), r"(?<!s)s$", "")
+
+
+def pascal(name: Column) -> Column:
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
+
+
+def named_groups(text: Column) -> Column:
+    """Distinct names of the groups that a regular expression defines, or that .group("name") reads."""
+    defined = F.regexp_extract_all(text, F.lit(r"\(\?P<([A-Za-z_]\w*)>"), F.lit(1))
+    used = F.regexp_extract_all(text, F.lit(r"\.group\(\s*['\"]([A-Za-z_]\w*)['\"]\s*\)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(defined, used)))
+
+
+def rule_applies(path: Column, language: Column, enabled: bool = True, languages: list[str] = (), include: list[str] = (), exclude: list[str] = ()) -> Column:
+    """Whether a rule holds for a file: switched on, of its languages, in an included path if any are given, in no excluded one."""
+    keep = F.lit(enabled)
+    if languages:
+        keep = keep & language.isin(list(languages))
+    if include:
+        keep = keep & reduce(lambda a, b: a | b, [path.rlike(path_glob_regex(g)) for g in include])
+    return keep & ~reduce(lambda a, b: a | b, [path.rlike(path_glob_regex(g)) for g in exclude], F.lit(False))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A shingle in more functions than this says nothing about two of them; a candidate pair must share this many.
 MOST_POSTINGS, LEAST_SHARED = 40, 4
+#: A subtree below any of these is trivial.
+LEAST_NODES, LEAST_DEPTH, LEAST_TOKENS, LEAST_VOLUME = 8, 3, 4, 30.0
 
 
 def exact_clusters(fragments: DataFrame) -> DataFrame:
@@ -155,3 +157,54 @@ def trigram_search(index: DataFrame, query: str) -> DataFrame:
     q = query.lower()
     wanted = sorted({q[k : k + 3] for k in range(len(q) - 2)})
     return index.where(F.col("trigram").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+
+
+def is_trivial(kinds: Column, tokens: Column, depth: Column, keywords: list[str]) -> Column:
+    """Whether a subtree is too small to compare: few nodes, flat, few different tokens besides keywords, or little volume.
+
+    Volume is the number of nodes times the logarithm of the number of different kinds and tokens.
+    """
+    nodes = F.size(kinds)
+    own = F.size(F.array_except(F.array_distinct(tokens), F.array(*map(F.lit, keywords)) if keywords else F.array().cast("array<string>")))
+    volume = nodes * F.log2(F.greatest(F.size(F.array_distinct(F.concat(kinds, tokens))), F.lit(1)))
+    return (nodes < LEAST_NODES) | (depth < LEAST_DEPTH) | (own < LEAST_TOKENS) | (volume < LEAST_VOLUME)
+
+
+def canonical_hash(kinds: Column, tokens: Column) -> Column:
+    """Hash of a subtree's kinds and tokens."""
+    return F.sha2(F.concat(F.concat_ws(" ", kinds), F.lit("##"), F.concat_ws(" ", tokens)).cast("binary"), 256)
+
+
+def penalty(symbol: Column, kinds: Column, tokens: Column, one_file: Column) -> Column:
+    """What makes a cluster of equal subtrees less worth showing; the sum of what applies.
+
+    Stubs that only raise NotImplemented 1000, small isinstance guards and wrappers of one attribute 500, fragments of one file 300,
+    bodies of self.x = x and special methods 200.
+    """
+    nodes = F.size(kinds)
+    has = lambda *t: F.arrays_overlap(tokens, F.array(*map(F.lit, t)))
+    stub = has("NotImplementedError", "NotImplemented") & F.array_contains(kinds, "raise") & (nodes <= 12)
+    guard = has("isinstance") & (nodes <= 20)
+    wrapper = has("self") & F.array_contains(kinds, "return") & F.array_contains(kinds, "attribute") & (nodes <= 8) & ~F.array_contains(kinds, "call")
+    fragment = one_file & (nodes < 15)
+    selfs = has("self") & (F.size(F.filter(kinds, lambda k: k == "assignment")) >= 2) & ~F.array_contains(kinds, "call")
+    special = symbol.rlike(r"(^|\.)__\w+__$")
+    points = ((stub, 1000), (guard, 500), (wrapper, 500), (fragment, 300), (selfs, 200), (special, 200))
+    return sum((F.when(c, float(n)).otherwise(0.0) for c, n in points), F.lit(0.0))
+
+
+def ranked(clusters: DataFrame, least_score: float = 0.0, limit: int | None = 50) -> DataFrame:
+    """Clusters (score, size, hash) by score, then size; `limit` is the report's length."""
+    out = clusters.where(F.col("score") >= least_score).orderBy(F.desc("score"), F.desc("size"), "hash")
+    return out if limit is None else out.limit(limit)
+
+
+def run_clusters(runs: DataFrame) -> DataFrame:
+    """Repeated runs (length, members, n_kinds, n_files) with their score: 10 a statement, up to 15 for kinds, 20 across files."""
+    score = F.col("length") * 10.0 + F.least(F.col("n_kinds") * 3.0, F.lit(15.0)) + F.when(F.col("n_files") > 1, 20.0).otherwise(0.0)
+    return runs.withColumn("score", score)
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Near clones by category, similarity, and names."""
+    return pairs.orderBy("category", F.desc("similarity"), "left", "right")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions import names
+
 SQL = r"(?is)^\s*(?:select\b.+\bfrom\b|insert\s+into\b|update\b.+\bset\b|delete\s+from\b|create\s+table\b|with\b.+\bselect\b)"
 JINJA = r"\{\{.*?\}\}|\{%.*?%\}"
 GRAPHQL = r"(?s)^\s*(?:query|mutation|subscription|fragment|type|input|enum|interface)\b.*\{"
@@ -60,8 +62,7 @@ def orm_links(tables: DataFrame, classes: DataFrame) -> DataFrame:
 
     classes: class, table_name (null if not declared).
     """
-    singular = F.regexp_replace(F.regexp_replace("table", r"(?<=[^aeiou])ies$", "y"), r"(?<!s)s$", "")
-    pascal = F.array_join(F.transform(F.split(singular, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
+    pascal = names.pascal(names.singular(F.col("table")))
     exact = classes.where("table_name is not null").select(F.col("table_name").alias("table"), F.col("class").alias("exact"))
     named = classes.select(F.col("class").alias("pascal"), F.col("class").alias("by_name"))
     out = tables.withColumn("pascal", pascal).join(exact, "table", "left").join(named, "pascal", "left").where("exact is not null or by_name is not null")
@@ -89,3 +90,38 @@ def rewritten(lines: DataFrame, rules: list[tuple[str, str]], most: int = 30) ->
             yield part
 
     return lines.mapInPandas(apply, lines.schema)
+
+
+def find_in(regions: DataFrame, pattern: str, kind: str = "sql") -> DataFrame:
+    """Each match of a text pattern in the string literals (id, value) that are a region of the kind: id and match."""
+    hits = F.regexp_extract_all("value", F.lit(pattern_regex(pattern)), F.lit(0))
+    return regions.where(region_kind(F.col("value")) == kind).select("id", F.explode(hits).alias("match"))
+
+
+def sql_columns(text: Column) -> Column:
+    """Distinct bare columns of the first select list."""
+    listed = F.regexp_extract(text, r"(?is)\bselect\s+(?:distinct\s+)?(.*?)\s+from\b", 1)
+    parts = F.transform(F.split(listed, ","), lambda x: F.regexp_extract(F.trim(x), r"^(?:\w+\.)?([A-Za-z_]\w*)$", 1))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+
+
+def jinja_blocks(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{%-?\s*(?:block|macro)\s+([A-Za-z_]\w*)"), F.lit(1))))
+
+
+def template_links(variables: DataFrame, renders: DataFrame) -> DataFrame:
+    """template, name, file_path, line of template variables (template, name) and the calls (template, keyword, file_path, line) that pass them."""
+    return variables.distinct().join(renders.withColumnRenamed("keyword", "name"), ["template", "name"]).select("template", "name", "file_path", "line").distinct()
+
+
+def graphql_links(types: DataFrame, classes: DataFrame, resolvers: DataFrame) -> DataFrame:
+    """type, field, target: fields (type, field) with the resolver function resolve_<field>, else with the class of the type's name."""
+    by_name = resolvers.select(F.regexp_replace("name", "^resolve_", "").alias("field"), F.col("name").alias("resolver")).where("resolver like 'resolve\\\\_%'")
+    out = types.join(by_name, "field", "left").join(classes.select(F.col("class").alias("type"), F.col("class").alias("owner")).distinct(), "type", "left")
+    return out.where("resolver is not null or owner is not null").select("type", "field", F.coalesce("resolver", "owner").alias("target")).distinct()
+
+
+def impact(changed: DataFrame, links: DataFrame, regions: DataFrame) -> DataFrame:
+    """class, table and id of text regions (id, tables) that name a table linked (table, class) to a changed class (class)."""
+    tables = links.join(changed.select("class").distinct(), "class", "left_semi").select("class", "table").distinct()
+    return regions.select("id", F.explode("tables").alias("table")).distinct().join(tables, "table").select("class", "table", "id")

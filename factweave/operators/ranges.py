@@ -88,3 +88,35 @@ def translated(lines: DataFrame, hunks: DataFrame) -> DataFrame:
     gone = F.exists("hunks", lambda x: (F.col("line") >= x["first"]) & (F.col("line") < x["first"] + x["old_count"]))
     shift = F.aggregate(F.filter("hunks", lambda x: x["first"] + x["old_count"] <= F.col("line")), F.lit(0).cast("long"), lambda a, x: a + x["new_count"] - x["old_count"])
     return moved.select("file_path", "line", F.when(F.col("hunks").isNull(), F.col("line")).when(~gone, F.col("line") + shift).alias("new_line"))
+
+
+def touching(findings: DataFrame, changed: DataFrame, bucket: int = 64) -> DataFrame:
+    """Findings (file_path, line, end_line) whose span meets a changed interval (file_path, start, stop half open)."""
+    spans = findings.select("file_path", "line", "end_line").distinct()
+    left = spans.select("file_path", "line", "end_line", F.col("line").alias("start"), (F.col("end_line") + 1).alias("stop"))
+    hit = overlapping(left, changed.select("file_path", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), "file_path", bucket)
+    return findings.join(hit.select("file_path", "line", "end_line").distinct(), ["file_path", "line", "end_line"], "left_semi")
+
+
+def endpoint_events(spans: DataFrame, events: DataFrame, roles: list[str], bucket: int = 256) -> DataFrame:
+    """The event of each pattern span (span, file_path, start, stop): the one inside it whose role comes first in `roles`, then the last by ordinal.
+
+    events: file_path, event_id, role, at, ordinal.
+    """
+    rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
+    listed = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))))
+    marked = events.withColumn("_b", F.floor(F.col("at") / bucket)).withColumn("_rank", rank).where("_rank > 0")
+    inside = listed.join(marked, ["file_path", "_b"]).where("at >= start and at < stop")
+    best = F.max_by("event_id", F.struct(-F.col("_rank"), F.col("ordinal"), F.col("event_id")))
+    return inside.groupBy("span").agg(best.alias("event_id"))
+
+
+def locations(points: DataFrame, functions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """file_path, at, func_qn, block_id: the narrowest function range that holds a line, then that function's narrowest block; ties to the higher id.
+
+    functions: file_path, func_qn, line, end_line; blocks: file_path, func_qn, block_id, line, end_line.
+    """
+    held = innermost(points.select("file_path", "at").distinct(), functions, "file_path", "at", "line", "end_line", [F.col("func_qn")]).select("file_path", "at", "func_qn").where("func_qn is not null")
+    keyed = held.withColumn("_k", F.struct("file_path", "func_qn"))
+    own = blocks.select(F.struct("file_path", "func_qn").alias("_k"), "block_id", F.col("line").alias("b_line"), F.col("end_line").alias("b_end"))
+    return innermost(keyed, own, "_k", "at", "b_line", "b_end", [F.col("block_id")]).select("file_path", "at", "func_qn", "block_id")

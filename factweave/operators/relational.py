@@ -112,3 +112,39 @@ def first_nonempty(*frames: DataFrame) -> DataFrame:
         if not df.isEmpty():
             return df
     return frames[-1]
+
+
+def flows(trace_flow: DataFrame, func: str | None = None, source: str | None = None, sink: str | None = None) -> DataFrame:
+    """Flows of a function, from a variable, to a variable."""
+    return matching(trace_flow, func_qn=func, source_var=source, sink_var=sink)
+
+
+def with_type(type_binding: DataFrame, expression: str) -> DataFrame:
+    """symbol_qn and type_str of bindings whose type matches an expression."""
+    return type_binding.where(F.col("type_str").rlike(expression)).select("symbol_qn", "type_str").distinct()
+
+
+def reference_counts(refs: DataFrame) -> DataFrame:
+    """Uses of each symbol: references but definitions and imports."""
+    return refs.where("ref_kind not in ('definition', 'import')").groupBy("symbol_qn").agg(F.count("*").alias("n_refs"))
+
+
+def callees(call: DataFrame, caller: str) -> DataFrame:
+    """callee_qn and line of a function's calls, each once."""
+    return call.where(F.col("caller_qn") == caller).select("callee_qn", "line").distinct()
+
+
+def recent(queries: DataFrame, limit: int = 50) -> DataFrame:
+    """query and ts of the last time each query was asked, latest first; `limit` is the history's length."""
+    return queries.groupBy("query").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "query").limit(limit)
+
+
+def imported_only(matches: DataFrame, bound: DataFrame, imported: bool = True) -> DataFrame:
+    """Matches (file_path, root) whose root name is, or is not, bound by an import (file_path, name) of the file."""
+    names = bound.select("file_path", F.col("name").alias("root")).distinct()
+    return matches.join(names, ["file_path", "root"], "left_semi" if imported else "left_anti")
+
+
+def merged_config(configs: DataFrame) -> DataFrame:
+    """role and pattern of several rule sets (position, role, pattern) in order, each once, where it came first."""
+    return configs.groupBy("role", "pattern").agg(F.min("position").alias("position"))

@@ -85,11 +85,6 @@ def def_uses(f: Facts) -> DataFrame:
     return relational.matching(f.def_use, func_qn="s5", var_name="v2")
 
 
-@query("select * from def_use_all where func_qn = 's5' and var_name = 'v2'", "def_use_all")
-def def_uses_all(f: Facts) -> DataFrame:
-    return relational.matching(f.def_use_all, func_qn="s5", var_name="v2")
-
-
 @query("select symbol_qn, decorator from decorator_on where regexp_matches(decorator, '^App')", "decorator_on")
 def decorators_like(f: Facts) -> DataFrame:
     return f.decorator_on.where(F.col("decorator").rlike("^App")).select("symbol_qn", "decorator")
@@ -108,7 +103,7 @@ def smart_case(f: Facts) -> DataFrame:
 
 @query("select qualified_name, line, end_line - line as span from symbol where parent in ('s1', 's2') and kind = 'method'", "symbol")
 def in_class_filter(f: Facts) -> DataFrame:
-    return f.symbol.where(F.col("parent").isin("s1", "s2") & (F.col("kind") == "method")).select("qualified_name", "line", (F.col("end_line") - F.col("line")).alias("span"))
+    return search.query_symbols(f.symbol, kinds=["method"], in_class=["s1", "s2"]).select("qualified_name", "line", (F.col("end_line") - F.col("line")).alias("span"))
 
 
 @query("select qualified_name, name from symbol where regexp_matches(name, '^(test_|Test)')", "symbol")
@@ -147,16 +142,6 @@ def receiver_type_join(f: Facts) -> DataFrame:
     return relational.receiver_types(f.method_call, f.def_use, f.type_binding)
 
 
-@query(
-    """select distinct m.file_path, m.func_qn, m.receiver, m.method, t.type_str
-       from method_call_all m join def_use_all d on d.file_path = m.file_path and d.func_qn = m.func_qn and d.var_name = m.receiver and d.use_block = m.block_id
-       join type_binding t on t.file_path = m.file_path and t.symbol_qn = m.receiver and t.line = d.def_line""",
-    "method_call_all def_use_all type_binding",
-)
-def receiver_type_join_all(f: Facts) -> DataFrame:
-    return relational.receiver_types(f.method_call_all, f.def_use_all, f.type_binding)
-
-
 @query("select qualified_name, kind from symbol s where not exists (select 1 from reference r where r.symbol_qn = s.qualified_name and ref_kind <> 'definition')", "symbol reference")
 def dead_code_simple(f: Facts) -> DataFrame:
     return relational.unreferenced(f.symbol, f.reference).select("qualified_name", "kind")
@@ -203,16 +188,6 @@ def def_use_pairs(f: Facts) -> DataFrame:
     return relational.def_use_pairs(f.def_use.select(*key, "def_line").distinct(), f.def_use.select(*key, "use_line").distinct())
 
 
-@query(
-    """select distinct d.file_path, d.func_qn, d.var_name, d.def_line, u.use_line from (select distinct file_path, func_qn, var_name, def_line from def_use_all) d
-       join (select distinct file_path, func_qn, var_name, use_line from def_use_all) u using (file_path, func_qn, var_name)""",
-    "def_use_all",
-)
-def def_use_pairs_all(f: Facts) -> DataFrame:
-    key = ("file_path", "func_qn", "var_name")
-    return relational.def_use_pairs(f.def_use_all.select(*key, "def_line").distinct(), f.def_use_all.select(*key, "use_line").distinct())
-
-
 # -- recursion ---------------------------------------------------------------
 _REACH = "seen(node) as (select '{0}' union select c.{2} from seen s join call c on c.{1} = s.node) select node as qn from seen where node <> '{0}'"
 
@@ -285,18 +260,8 @@ def dead_code_unified(f: Facts) -> DataFrame:
     return recursive.dead_code(f.symbol, f.ref_by_block, f.reachable_block, f.module_level_ref, _entries(f))
 
 
-@query(
-    """, way as (select distinct caller_qn as a, callee_qn as b from call where col % 30 = 1), both_ways as (select a, b from way union select b, a from way),
-       comp(node, seed) as (select distinct a, a from both_ways union select w.b, c.seed from comp c join both_ways w on w.a = c.node)
-       select node, min(seed) as component from comp group by node""",
-    "call",
-)
-def call_components(f: Facts) -> DataFrame:
-    return recursive.components(f.call.where("col % 30 = 1").select(F.col("caller_qn").alias("src"), F.col("callee_qn").alias("dst")))
-
-
 @query()
-def call_components_all(f: Facts) -> DataFrame:
+def call_components(f: Facts) -> DataFrame:
     """Components over every call; without SQL, as a recursive union lists every pair of a component's nodes."""
     return recursive.components(f.call.select(F.col("caller_qn").alias("src"), F.col("callee_qn").alias("dst")))
 
@@ -348,25 +313,13 @@ def longest_prefix(f: Facts) -> DataFrame:
     return ranges.longest_prefix(modules, prefixes, "module", "prefix").select("module", "prefix")
 
 
-@query(
-    """, a as (select file_path, line as start, end_line + 1 as stop from symbol where qualified_name like 'p%'),
-       b as (select distinct file_path, line * 41 as r_start, line * 41 + 9 as r_stop from call)
-       select file_path, start, stop, r_start, r_stop from a join b using (file_path) where start < r_stop and r_start < stop""",
-    "symbol call",
-)
-def interval_overlap(f: Facts) -> DataFrame:
-    a = f.symbol.where("qualified_name like 'p%'").select("file_path", F.col("line").alias("start"), (F.col("end_line") + 1).alias("stop"))
-    b = f.call.select("file_path", (F.col("line") * 41).alias("r_start"), (F.col("line") * 41 + 9).alias("r_stop")).distinct()
-    return ranges.overlapping(a, b, "file_path")
-
-
 @query(
     """, a as (select file_path, line as start, end_line + 1 as stop from symbol),
        b as (select distinct file_path, line * 41 as r_start, line * 41 + 9 as r_stop from call)
        select file_path, start, stop, r_start, r_stop from a join b using (file_path) where start < r_stop and r_start < stop""",
     "symbol call",
 )
-def interval_overlap_all(f: Facts) -> DataFrame:
+def interval_overlap(f: Facts) -> DataFrame:
     a = f.symbol.select("file_path", F.col("line").alias("start"), (F.col("end_line") + 1).alias("stop"))
     b = f.call.select("file_path", (F.col("line") * 41).alias("r_start"), (F.col("line") * 41 + 9).alias("r_stop")).distinct()
     return ranges.overlapping(a, b, "file_path")
@@ -385,14 +338,14 @@ def interval_union(f: Facts) -> DataFrame:
 
 @query(
     """, f as (select distinct file_path, line, case when col % 2 = 0 then 'r1' else 'r2' end as rule from call),
-       s as (select file_path, line % 7 as a, line % 7 + 1 as b, case when kind = 'class' then null else 'r1' end as tag from symbol where qualified_name like 'p%1')
+       s as (select file_path, line % 7 as a, line % 7 + 1 as b, case when kind = 'class' then null else 'r1' end as tag from symbol)
        select * from f where not exists (select 1 from s where s.file_path = f.file_path and f.line between s.a and s.b and (s.tag is null or s.tag = f.rule))""",
     "call symbol",
 )
 def noqa_suppressed(f: Facts) -> DataFrame:
     found = f.call.select("file_path", "line", F.when(F.col("col") % 2 == 0, "r1").otherwise("r2").alias("rule")).distinct()
     tags = F.when(F.col("kind") == "class", F.lit(None)).otherwise(F.array(F.lit("r1")))
-    return ranges.suppressed(found, f.symbol.where("qualified_name like 'p%1'").select("file_path", (F.col("line") % 7).alias("start"), (F.col("line") % 7 + 1).alias("end"), tags.alias("tags")))
+    return ranges.suppressed(found, f.symbol.select("file_path", (F.col("line") % 7).alias("start"), (F.col("line") % 7 + 1).alias("end"), tags.alias("tags")))
 
 
 # -- aggregates, sorts, top-k ---------------------------------------------------
@@ -468,27 +421,13 @@ def exact_clone_clusters(f: Facts) -> DataFrame:
     return clones.exact_clusters(docs)
 
 
-@query(
-    """with tok as (select item_id as id, string_split(lower(text), ' ') as t from benchmark union all
-                    select doc_id + 1000000, string_split(lower(text), ' ') from documents where len(string_split(text, ' ')) between 5 and 200),
-       g as (select distinct id, array_to_string(t[i:i + 4], ' ') as s from (select id, t, unnest(range(1, len(t) - 3)) as i from tok where len(t) >= 5)),
-       r as (select s from g group by s having count(*) between 2 and 40)
-       select a.id as left, b.id as right, count(*) as shared from g a join g b on a.s = b.s and a.id < b.id where a.s in (select s from r) group by 1, 2 having count(*) >= 4"""
-)
-def shingle_pairs(f: Facts) -> DataFrame:
-    tokens = F.split(F.lower("text"), " ")
-    short = f.documents.select((F.col("doc_id") + 1000000).alias("id"), tokens.alias("t")).where(F.size("t").between(5, 200))
-    both = f.benchmark.select(F.col("item_id").alias("id"), tokens.alias("t")).unionByName(short)
-    return clones.shared_shingles(clones.shingles(both, "id", "t"))
-
-
 @query(
     """with tok as (select item_id as id, string_split(lower(text), ' ') as t from benchmark union all select doc_id + 1000000, string_split(lower(text), ' ') from documents),
        g as (select distinct id, array_to_string(t[i:i + 4], ' ') as s from (select id, t, unnest(range(1, len(t) - 3)) as i from tok where len(t) >= 5)),
        r as (select s from g group by s having count(*) between 2 and 40)
        select a.id as left, b.id as right, count(*) as shared from g a join g b on a.s = b.s and a.id < b.id where a.s in (select s from r) group by 1, 2 having count(*) >= 4"""
 )
-def shingle_pairs_all(f: Facts) -> DataFrame:
+def shingle_pairs(f: Facts) -> DataFrame:
     tokens = F.split(F.lower("text"), " ").alias("t")
     texts = f.documents.select((F.col("doc_id") + 1000000).alias("id"), tokens)
     return clones.shared_shingles(clones.shingles(f.benchmark.select(F.col("item_id").alias("id"), tokens).unionByName(texts), "id", "t"))
@@ -530,14 +469,14 @@ def markup_tags(f: Facts) -> DataFrame:
 # -- incremental state --------------------------------------------------------------
 @query(
     """with old as (select 'd' || cast(doc_id as string) as p, n_chars as h from documents where doc_id % 7 <> 0),
-            new as (select 'd' || cast(doc_id as string) as p, case when doc_id % 5 = 0 then n_chars + 1 else n_chars end as h from documents where doc_id % 11 <> 0)
+            new as (select 'd' || cast(doc_id as string) as p, case when doc_id % 5 = 0 then n_chars + 1 else n_chars end as h from documents where doc_id % 11 <> 0 or doc_id % 7 = 0)
        select coalesce(old.p, new.p) as file_path, case when old.p is null then 'new' when new.p is null then 'deleted' when old.h = new.h then 'unchanged' else 'changed' end as status
        from old full join new on old.p = new.p"""
 )
 def manifest_diff(f: Facts) -> DataFrame:
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path")
     old = f.documents.where("doc_id % 7 <> 0").select(path, F.col("n_chars").alias("content_hash"))
-    new = f.documents.where("doc_id % 11 <> 0").select(path, F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("content_hash"))
+    new = f.documents.where("doc_id % 11 <> 0 or doc_id % 7 = 0").select(path, F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("content_hash"))
     return state.manifest_diff(old, new)
 
 

@@ -58,12 +58,12 @@ VIEWS: dict[str, str] = {
         select distinct 'f' || cast(l_orderkey % 50 as string) || '.py' as file_path, 's' || cast(l_suppkey as string) as func_qn,
                'v' || cast(l_partkey % 5 as string) as receiver, 'm' || cast(l_linenumber as string) as method,
                cast(l_orderkey % 7 as bigint) as block_id, cast(l_orderkey % 90 as bigint) as line
-        from lineitem where l_quantity >= 45""",
+        from lineitem""",
     "def_use": """
         select distinct 'f' || cast(l_orderkey % 50 as string) || '.py' as file_path, 's' || cast(l_suppkey as string) as func_qn,
                'v' || cast(l_partkey % 5 as string) as var_name, 'write' as kind, cast(l_linenumber % 3 as bigint) as def_block,
                cast(l_orderkey % 7 as bigint) as use_block, cast(l_partkey % 30 as bigint) as def_line, cast(l_orderkey % 90 as bigint) as use_line
-        from lineitem where l_quantity >= 45""",
+        from lineitem""",
     "type_binding": """
         select distinct 'v' || cast(p_partkey % 5 as string) as symbol_qn, 'f' || cast(p_partkey % 50 as string) || '.py' as file_path,
                cast(p_partkey % 30 as bigint) as line, 'inferred' as binding_kind, 'lib.T' || cast(p_size % 6 as string) as type_str
@@ -77,16 +77,36 @@ VIEWS: dict[str, str] = {
         select distinct 'c' || cast(conv_id % 20 as string) as file_path, 'conv' || cast(conv_id as string) as func_qn, turn as from_block,
                case when (conv_id + turn) % 3 = 1 then turn + 2 else turn + 1 end as to_block, 'fallthrough' as edge_kind
         from conversations""",
+    "search_symbol": """
+        select file_path, 'pkg.' || replace(file_path, '.py', '') || '.' || name as module_qualified_name, name, qualified_name, kind, line, end_line,
+               cast(case when parent is null then 0 else 1 end as bigint) as depth, parent,
+               case when kind in ('function', 'method') then '(self, n' || cast(line % 7 as string) || ': dict[str, int], *args)' else '' end as signature,
+               case when line % 3 = 0 then 'int' when line % 3 = 1 then 'list[str]' else '' end as returns,
+               case when line % 4 = 1 then 'app.route,cached' when line % 4 = 3 then 'property' else '' end as decorators
+        from symbol""",
+    "trace_flow": """
+        select distinct 'v' || cast(l_partkey % 5 as string) as source_var, 'w' || cast(l_suppkey % 5 as string) as sink_var,
+               case l_returnflag when 'R' then 'sqli' when 'A' then 'xss' else 'path' end as label, 'f' || cast(l_orderkey % 50 as string) || '.py' as file_path,
+               's' || cast(l_suppkey as string) as func_qn, cast(l_linenumber as bigint) as source_line, cast(l_linenumber + l_orderkey % 20 as bigint) as sink_line
+        from lineitem""",
+    "source_loc": "select file_path, kind as loc_kind, qualified_name as loc_id, line, cast(0 as bigint) as col, end_line, line % 100 as rel_line from symbol",
+    "func_summary": """
+        select 's' || cast(s_suppkey as string) as func_qn, 'n' || cast(s_nationkey % 3 as string) as param_name, 'f' || cast(s_suppkey % 50 as string) || '.py' as file_path,
+               s_suppkey % 2 = 0 as flows_to_return, s_suppkey % 3 = 0 as flows_to_sink, case when s_suppkey % 3 = 0 then 'sqli' else '' end as sink_label
+        from supplier""",
+    "code_call": """
+        select p_partkey as id, 'f' || cast(p_partkey % 50 as string) || '.py' as file_path, p_partkey % 10 as target, p_size as size, p_partkey % 4 as shape
+        from part""",
+    "order_line": """
+        select distinct 'o' || cast(l_orderkey % 200 as string) as func_id, 'f' || cast(l_orderkey % 50 as string) || '.py' as file_path, cast(l_linenumber as bigint) as step,
+               'v' || cast((l_orderkey + l_linenumber) % 2 as string) as var,
+               case when (l_orderkey % 200 + l_linenumber) % 3 = 0 then 'def' else 'use' end as role
+        from lineitem""",
     "flow_event": """
         select 'u' || cast(user_id % 40 as string) as file_path, event_id, event_type as role, user_id,
                lead(event_id) over (partition by user_id order by ts, event_id) as next_id
         from events""",
 }
-#: The same over every row of lineitem.
-for _name in ("method_call", "def_use"):
-    VIEWS[f"{_name}_all"] = VIEWS[_name].replace(" where l_quantity >= 45", "")
-
-
 def _needs(name: str) -> list[str]:
     """Views that a view reads, in order of definition."""
     text = VIEWS[name]

@@ -52,8 +52,9 @@ RELATIONS: dict[str, T.StructType] = {
     "module_level_ref": _relation("symbol_qn:s file_path:s line:i"),
     "facts_meta": _relation("key:s", "value:s"),
 }
-#: Other key orders of `call`, which a columnar store answers from the same table.
+#: Copies of a relation in another order, and the column that leads it.
 ALIASES = {"call_by_callee": "call", "call_by_file": "call"}
+LEADING = {"call_by_callee": "callee_qn", "call_by_file": "file_path"}
 
 
 def keys(relation: str) -> list[str]:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from factweave import schema
 
 
+POINTER = "version long, relation string, path string"
+
+
 class FactStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,52 +24,68 @@ class FactStore:
     # -- snapshots -------------------------------------------------------
     def current(self) -> str | None:
         """Name of the published snapshot."""
+        where = self._where()
+        return f"v{self._version(where):06d}" if where else None
+
+    def _where(self) -> dict[str, tuple[int, str]]:
+        """Version and path of each relation in the published snapshot."""
         if not self._exists(f"{self.root}/_current"):
-            return None
-        return self.spark.read.parquet(f"{self.root}/_current").orderBy(F.desc("version")).first().snapshot
+            return {}
+        rows = self.spark.read.schema(POINTER).parquet(f"{self.root}/_current").collect()
+        last = max((r.version for r in rows), default=0)
+        return {r.relation: (r.version, r.path) for r in rows if r.version == last}
+
+    @staticmethod
+    def _version(where: dict[str, tuple[int, str]]) -> int:
+        return max((v for v, _ in where.values()), default=0)
 
     def _exists(self, path: str) -> bool:
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath)
 
     def table(self, relation: str) -> DataFrame:
-        """A relation of the published snapshot; empty if it has none."""
-        relation = schema.ALIASES.get(relation, relation)
-        name = self.current()
-        path = f"{self.root}/{name}/{relation}"
-        if name is None or not self._exists(path):
-            return self.spark.createDataFrame([], schema.RELATIONS[relation])
-        return self.spark.read.schema(schema.RELATIONS[relation]).parquet(path)
+        """A relation of the published snapshot, or a copy of one in another order; empty if it has none."""
+        base = schema.ALIASES.get(relation, relation)
+        where = self._where().get(relation)
+        if where is None:
+            return self.spark.createDataFrame([], schema.RELATIONS[base])
+        return self.spark.read.schema(schema.RELATIONS[base]).parquet(where[1])
 
     def publish(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new snapshot of all given relations, keys unique, and make it current."""
-        version = self._version() + 1
+        """Write the given relations, keys unique, as a new snapshot that takes all others from the one before, and make it current.
+
+        Rows lie in the order of the key, dealt to files by ranges of it, so a search by key reads few files and row groups; `call` is
+        written in the orders of its callee and file as well.  Of rows with one key the least is kept.
+        """
+        where = self._where()
+        version = self._version(where) + 1
         name = f"v{version:06d}"
+        paths = {r: p for r, (_, p) in where.items()}
         for relation, df in tables.items():
-            fields = [F.col(f.name).cast(f.dataType) for f in schema.RELATIONS[relation]]
-            df.select(*fields).dropDuplicates(schema.keys(relation)).write.mode("overwrite").parquet(f"{self.root}/{name}/{relation}")
-        pointer = self.spark.createDataFrame([(version, name)], "version long, snapshot string")
+            kind = schema.RELATIONS[relation]
+            keys, rest = schema.keys(relation), [f.name for f in kind if f.name not in schema.keys(relation)]
+            rows = df.select(*(F.col(f.name).cast(f.dataType) for f in kind))
+            rows = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_rest")).select(*keys, *(F.col(f"_rest.{c}").alias(c) for c in rest)) if rest else rows.distinct()
+            orders = {relation: keys} | {copy: [schema.LEADING[copy], *(k for k in keys if k != schema.LEADING[copy])] for copy, base in schema.ALIASES.items() if base == relation}
+            for copy, order in orders.items():
+                paths[copy] = f"{self.root}/{name}/{copy}"
+                rows.select(*(f.name for f in kind)).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(paths[copy])
+        pointer = self.spark.createDataFrame([(version, r, p) for r, p in sorted(paths.items())], POINTER)
         pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/_current")
         return name
 
-    def _version(self) -> int:
-        name = self.current()
-        return int(name[1:]) if name else 0
-
     # -- updates ---------------------------------------------------------
     def upsert(self, changes: dict[str, DataFrame]) -> str:
-        """Rows replace those of the same key; other relations are carried over."""
-        tables = {r: self.table(r) for r in schema.RELATIONS}
-        for relation, new in changes.items():
-            tables[relation] = upserted(tables[relation], new, schema.keys(relation))
-        return self.publish(tables)
+        """Rows replace those of the same key; other relations are carried over unread."""
+        return self.publish({r: upserted(self.table(r), new, schema.keys(r)) for r, new in changes.items()})
 
     def replace_files(self, paths: DataFrame, changes: dict[str, DataFrame]) -> str:
-        """Drop every row of the given files (column file_path) and add the new rows, in one snapshot."""
+        """Drop every row of the given files (column file_path) and add the new rows, in one snapshot; relations without files are carried over unread."""
         tables = {}
-        for relation in schema.RELATIONS:
-            old = without_files(self.table(relation), paths)
-            tables[relation] = old.unionByName(changes[relation]) if relation in changes else old
+        for relation in sorted({*self._where(), *changes} - {*schema.ALIASES}):
+            if relation in changes or {"file_path", "importing_file"} & {*schema.RELATIONS[relation].names}:
+                old = without_files(self.table(relation), paths)
+                tables[relation] = old.unionByName(changes[relation]) if relation in changes else old
         return self.publish(tables)
 
     # -- JSON ------------------------------------------------------------

@@ -9,7 +9,7 @@ from factweave.plans.views import Facts
 SF = "/root/testdata/sf0.001"
 
 
-def test_call_components_all(spark):
+def test_call_components(spark):
     root = {}
 
     def find(x):
@@ -21,12 +21,12 @@ def test_call_components_all(spark):
     for a, b in calls:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in QUERIES["call_components_all"](spark, SF).collect()}
+    got = {r.node: r.component for r in QUERIES["call_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}
     assert set(got) == {x for row in calls for x in row}
 
 
-def test_shingle_pairs_all(spark):
+def test_shingle_pairs(spark):
     held, lengths = defaultdict(set), {}
     facts = Facts(spark, SF)
     for first, rows in ((1_000_000, facts.documents.select("doc_id", "text").collect()), (0, facts.benchmark.select("item_id", "text").collect())):
@@ -36,18 +36,18 @@ def test_shingle_pairs_all(spark):
             for i in range(len(tokens) - 4):
                 held[tuple(tokens[i : i + 5])].add(first + k)
     shared = Counter(pair for ids in held.values() if len(ids) <= 40 for pair in combinations(sorted(ids), 2))
-    got = {(r.left, r.right): r.shared for r in QUERIES["shingle_pairs_all"](spark, SF).collect()}
+    got = {(r.left, r.right): r.shared for r in QUERIES["shingle_pairs"](spark, SF).collect()}
     assert got == {pair: n for pair, n in shared.items() if n >= 4}
     assert any(max(lengths[a], lengths[b]) > 200 for a, b in got)
 
 
-def test_interval_overlap_all(spark):
+def test_interval_overlap(spark):
     facts = Facts(spark, SF)
     spans = {(r.file_path, r.line * 41, r.line * 41 + 9) for r in facts.call.select("file_path", "line").collect()}
     wanted = []
     for path, line, end in facts.symbol.select("file_path", "line", "end_line").collect():
         wanted += [(path, line, end + 1, a, b) for p, a, b in spans if p == path and line < b and a < end + 1]
-    assert sorted(tuple(r) for r in QUERIES["interval_overlap_all"](spark, SF).collect()) == sorted(wanted)
+    assert sorted(tuple(r) for r in QUERIES["interval_overlap"](spark, SF).collect()) == sorted(wanted)
     assert any(stop == 2001 for _, _, stop, _, _ in wanted)
 
 
@@ -66,6 +66,6 @@ def test_receivers_and_definitions_of_all_rows(spark):
         defs[tuple(place)].add(line)
         used[tuple(place)].add(use)
     of = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, SF).collect())
-    assert of("def_uses_all") == sorted(r for r in uses if r[1] == "s5" and r[2] == "v2")
-    assert of("def_use_pairs_all") == sorted((*p, a, b) for p in defs for a in defs[p] for b in used[p])
-    assert of("receiver_type_join_all") == sorted({(p, f, v, m, t) for p, f, v, m, b in calls for line in at[p, f, v, b] for t in types[p, v, line]})
+    assert of("def_uses") == sorted(r for r in uses if r[1] == "s5" and r[2] == "v2")
+    assert of("def_use_pairs") == sorted((*p, a, b) for p in defs for a in defs[p] for b in used[p])
+    assert of("receiver_type_join") == sorted({(p, f, v, m, t) for p, f, v, m, b in calls for line in at[p, f, v, b] for t in types[p, v, line]})
