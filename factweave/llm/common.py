@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from factweave.plans.storage import SMALL_ROWS, Scratch, discard, is_small, scratch_dir, stored  # noqa: F401
 
 #: Rows and bytes that are worked on at once, about, so that Python's copies of long texts stay in memory.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,23 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at += part.num_rows
 
 
+def bounded(spark: SparkSession) -> None:
+    """Sees that Arrow batches of this session hold BATCH_BYTES at most.  It only splits batches, so no result depends on it."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(limit).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
+def released() -> None:
+    """Hands memory that a partition no longer needs back to the system, as the worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """mapInArrow with a function of one slice of bounded rows and bytes."""
 
@@ -56,7 +74,10 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+                out = None
+        released()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ WORD = re.compile(r"\w+")
 _U64 = np.uint64
 #: Odd multipliers of the shingle hash, from the splitmix64 sequence.
 _GOLDEN = 0x9E3779B97F4A7C15
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 _known: dict[str, int] = {}
 
 

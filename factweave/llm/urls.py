@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import bounded
+
 MOST_RULES = 200_000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -147,4 +149,5 @@ def _swept(base: DataFrame, rules: list[HostRules], id_col: str) -> DataFrame:
             rule, verdict, size = (pa.array([f and f[n] for f in found], t) for n, t in enumerate((pa.string(), pa.string(), pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], rule, verdict, size], names=[id_col, "url", "host", "path", "rule", "found", "host_size"])
 
+    bounded(base.sparkSession)
     return base.withColumn("host_key", key).sortWithinPartitions("host_key").mapInArrow(run, f"`{id_col}` {kind}, url string, host string, path string, rule string, found string, host_size int")
