@@ -31,6 +31,17 @@ class Extractor(ast.NodeVisitor):
         self.rows: list[tuple[str, dict]] = []
         self.scope: list[tuple[str, str]] = []  # (name, class or function)
         self.names: dict[str, str] = {}
+        self.events = self.calls = 0
+        self.blocks: dict[int, int] = {}  # statement to block, of the function that is visited
+        self.block: int | None = None
+
+    def visit(self, node: ast.AST) -> None:
+        if isinstance(node, ast.stmt) and id(node) in self.blocks:
+            before, self.block = self.block, self.blocks[id(node)]
+            super().visit(node)
+            self.block = before
+        else:
+            super().visit(node)
 
     def add(self, relation: str, **fact) -> None:
         self.rows.append((relation, fact))
@@ -56,7 +67,8 @@ class Extractor(ast.NodeVisitor):
                 self.names[alias.asname or alias.name.split(".")[0]] = target if alias.asname or isinstance(node, ast.ImportFrom) else alias.name.split(".")[0]
         self.exports(tree)
         self.visit(tree)
-        return self.rows
+        seen: set[tuple] = set()  # relations are sets
+        return [x for x in self.rows if (key := (x[0], *x[1].values())) not in seen and not seen.add(key)]
 
     def exports(self, tree: ast.Module) -> None:
         for node in tree.body:
@@ -103,8 +115,11 @@ class Extractor(ast.NodeVisitor):
                 self.add("type_binding", symbol_qn=f"{qn}.{a.arg}", file_path=self.file, line=a.lineno, binding_kind="annotation", type_str=ast.unparse(a.annotation))
         flow = Flow(self, qn)
         flow.build(node)
+        before = self.blocks, self.block
+        self.blocks, self.block = flow.block_of, 0
         for x in node.body:
             self.visit(x)
+        self.blocks, self.block = before
         self.scope.pop()
 
     visit_AsyncFunctionDef = visit_FunctionDef  # noqa: N815
@@ -115,12 +130,19 @@ class Extractor(ast.NodeVisitor):
             return
         head, _, rest = name.partition(".")
         qn = self.names.get(head, f"{self.module}.{head}" if head not in BUILTINS else head) + (f".{rest}" if rest else "")
-        self.add("reference", symbol_qn=qn, file_path=self.file, line=node.lineno, col=node.col_offset, ref_kind=kind, func_qn=self.function, block_id=None)
+        self.add("reference", symbol_qn=qn, file_path=self.file, line=node.lineno, col=node.col_offset, ref_kind=kind, func_qn=self.function, block_id=self.block if self.function else None)
+        if self.function is None:
+            self.add("module_level_ref", symbol_qn=qn, file_path=self.file, line=node.lineno)
+        elif self.block is not None:
+            self.add("ref_by_block", file_path=self.file, func_qn=self.function, block_id=self.block, symbol_qn=qn)
+            member = name.rpartition(".")[2]
+            if kind != "call" and rest and member.startswith("_") and not member.endswith("__"):
+                self.add("noncall_private_member_ref", file_path=self.file, func_qn=self.function, block_id=self.block, member_name=member)
         if kind == "call":
-            self.add("call", caller_qn=self.function or f"{self.module}.<module>", callee_qn=qn, file_path=self.file, line=node.lineno, col=node.col_offset, func_qn=self.function, block_id=None)
+            self.add("call", caller_qn=self.function or f"{self.module}.<module>", callee_qn=qn, file_path=self.file, line=node.lineno, col=node.col_offset, func_qn=self.function, block_id=self.block if self.function else None)
             if rest and self.function:
                 receiver, _, method = name.rpartition(".")
-                self.add("method_call", file_path=self.file, func_qn=self.function, receiver=receiver, method=method, block_id=0, line=node.lineno)
+                self.add("method_call", file_path=self.file, func_qn=self.function, receiver=receiver, method=method, block_id=self.block or 0, line=node.lineno)
 
     def visit_Call(self, node: ast.Call) -> None:  # noqa: N802
         name = dotted(node.func)
@@ -186,8 +208,9 @@ class Flow:
         self.out, self.qn = out, qn
         self.blocks: dict[int, list[ast.stmt]] = {0: [], 1: []}
         self.edges: set[tuple[int, int, str]] = set()
-        self.loops: list[tuple[int, int]] = []
-        self.handlers: list[list[int]] = []
+        #: Open loops (head, after), protected bodies (handlers) and bodies with a finally block (its entry, jumps that wait for it).
+        self.frames: list[tuple[str, object, object]] = []
+        self.block_of: dict[int, int] = {}
 
     def new(self) -> int:
         self.blocks[len(self.blocks)] = []
@@ -197,9 +220,43 @@ class Flow:
         if a is not None:
             self.edges.add((a, b, kind))
 
+    def jump(self, at: int | None, what: str) -> None:
+        """Leaves block `at` by return, raise, break or continue; open finally blocks are gone through first."""
+        for kind, a, b in reversed(self.frames):
+            if kind == "finally":
+                self.edge(at, a, "finally")
+                b.add(what)
+                return
+            if kind == "loop" and what in ("break", "continue"):
+                self.edge(at, b if what == "break" else a, "jump")
+                return
+            if kind == "try" and what == "raise":
+                for h in a:
+                    self.edge(at, h, "exception")
+                return
+        self.edge(at, 1, "exception" if what == "raise" else "jump")
+
+    def may_raise(self, at: int) -> None:
+        """Any statement of a protected body may raise."""
+        if any(kind != "loop" for kind, _, _ in self.frames):
+            self.jump(at, "raise")
+
     def build(self, node) -> None:
         self.edge(self.body(node.body, 0), 1)
+        self.block_of = {id(s): b for b, statements in self.blocks.items() for s in statements}
         out = self.out
+        after: dict[int, list[int]] = {}
+        for a, b, _ in self.edges:
+            after.setdefault(a, []).append(b)
+        live, todo = {0}, [0]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in live:
+                    live.add(b)
+                    todo.append(b)
+        for b in sorted(live):
+            out.add("reachable_block", file_path=out.file, func_qn=self.qn, block_id=b)
+        self.events(node, after)
         for b in self.blocks:
             out.add("cfg_block", file_path=out.file, func_qn=self.qn, block_id=b, is_entry=b == 0, is_exit=b == 1)
             lines = [s.lineno for s in self.blocks[b]]
@@ -238,9 +295,8 @@ class Flow:
 
     def statement(self, s: ast.stmt, at: int) -> int | None:
         self.blocks[at].append(s)
-        for targets in self.handlers[-1:]:
-            for h in targets:
-                self.edge(at, h, "exception")
+        if not isinstance(s, (ast.Try, ast.TryStar, ast.Pass, ast.Break, ast.Continue)):
+            self.may_raise(at)
         if isinstance(s, ast.If):
             yes, after = self.new(), None
             self.edge(at, yes, "true_branch")
@@ -263,9 +319,9 @@ class Flow:
             self.blocks[head].append(self.blocks[at].pop())
             self.edge(at, head)
             self.edge(head, inside, "true_branch")
-            self.loops.append((head, after))
+            self.frames.append(("loop", head, after))
             self.edge(self.body(s.body, inside), head, "back_edge")
-            self.loops.pop()
+            self.frames.pop()
             if s.orelse:
                 other = self.new()
                 self.edge(head, other, "false_branch")
@@ -275,23 +331,37 @@ class Flow:
             return after
         if isinstance(s, (ast.Try, ast.TryStar)):
             starts = [self.new() for _ in s.handlers]
+            final, waiting = (self.new(), set()) if s.finalbody else (None, set())
             inside = self.new()
             self.edge(at, inside)
-            self.handlers.append(starts)
-            ends = [self.body([*s.body, *s.orelse], inside)]
-            self.handlers.pop()
+            if final is not None:
+                self.frames.append(("finally", final, waiting))
+            if starts:
+                self.frames.append(("try", starts, None))
+            end = self.body(s.body, inside)
+            if starts:
+                self.frames.pop()
+            ends = [self.body(s.orelse, end) if s.orelse and end is not None else end]
             ends += [self.body(h.body, b) for h, b in zip(s.handlers, starts, strict=True)]
-            if not s.finalbody:
-                if all(e is None for e in ends):
+            falls = any(e is not None for e in ends)
+            if final is None:
+                if not falls:
                     return None
                 after = self.new()
                 for e in ends:
                     self.edge(e, after)
                 return after
-            final = self.new()
+            self.frames.pop()
             for e in ends:
                 self.edge(e, final, "finally")
-            return self.body(s.finalbody, final)
+            done = self.body(s.finalbody, final)
+            for what in sorted(waiting):
+                self.jump(done, what)
+            if not falls or done is None:
+                return None
+            after = self.new()
+            self.edge(done, after)
+            return after
         if isinstance(s, (ast.With, ast.AsyncWith)):
             return self.body(s.body, at)
         if isinstance(s, ast.Match):
@@ -303,17 +373,103 @@ class Flow:
             self.edge(at, after, "false_branch")
             return after
         if isinstance(s, ast.Return):
-            self.edge(at, 1, "jump")
+            self.jump(at, "return")
             return None
         if isinstance(s, ast.Raise):
-            if not self.handlers:
-                self.edge(at, 1, "exception")
+            self.jump(at, "raise")
             return None
-        if isinstance(s, (ast.Break, ast.Continue)) and self.loops:
-            self.edge(at, self.loops[-1][isinstance(s, ast.Break)], "jump")
+        if isinstance(s, (ast.Break, ast.Continue)) and any(kind == "loop" for kind, _, _ in self.frames):
+            self.jump(at, "break" if isinstance(s, ast.Break) else "continue")
             return None
         return at
 
+    def events(self, node, after: dict[int, list[int]]) -> None:
+        """Flow events of the function and the edges between them.
+
+        Events in the order of evaluation: param_in; of each statement the uses, call_arg and call_result of each call, return, then
+        definitions.  Edges: reaching from a definition to the uses it reaches, value inside a statement.
+        """
+        out = self.out
+        own: dict[int, list[tuple[int, str, str | None]]] = {b: [] for b in self.blocks}  # block: event, role, variable
+
+        def event(role: str, at: ast.AST, block: int, var: str | None = None, **more) -> int:
+            out.events += 1
+            k = out.events
+            out.add(
+                "flow_event", file_path=out.file, event_id=k, func_id=self.qn, func_name=node.name, func_start=node.lineno, role=role, var=var, access_path=var, block=block,
+                start_byte=None, end_byte=None, start_line=at.lineno, start_col=at.col_offset, end_line=at.end_lineno, end_col=at.end_col_offset, ordinal=k,
+                call_id=more.get("call_id"), arg_index=more.get("arg_index"), arg_name=more.get("arg_name"), text=ast.unparse(at),
+            )
+            own[block].append((k, role, var))
+            return k
+
+        def edge(a: int, b: int, kind: str) -> None:
+            out.add("flow_edge", file_path=out.file, from_event=a, to_event=b, edge_kind=kind)
+
+        def value(x: ast.AST, block: int) -> list[int]:
+            """Events whose values an expression's value is made of."""
+            if isinstance(x, ast.Name):
+                return [event("use", x, block, x.id)] if isinstance(x.ctx, ast.Load) else []
+            if isinstance(x, ast.Call):
+                got = value(x.func, block) if not isinstance(x.func, ast.Name) else []
+                out.calls += 1
+                call, args = out.calls, []
+                for k, arg in enumerate([*x.args, *(w.value for w in x.keywords)]):
+                    made = value(arg, block)
+                    name = x.keywords[k - len(x.args)].arg if k >= len(x.args) else None
+                    a = event("call_arg", arg, block, call_id=call, arg_index=k, arg_name=name)
+                    for m in made:
+                        edge(m, a, "value")
+                    args.append(a)
+                result = event("call_result", x, block, call_id=call)
+                for m in (*got, *args):
+                    edge(m, result, "value")
+                return [result]
+            return [m for c in ast.iter_child_nodes(x) if not isinstance(c, (ast.stmt, ast.ExceptHandler, ast.match_case, ast.Lambda, ast.expr_context)) for m in value(c, block)]
+
+        for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, (node.args.vararg, node.args.kwarg))]:
+            event("param_in", a, 0, a.arg)
+        for block, statements in self.blocks.items():
+            for s in statements:
+                if isinstance(s, (*FUNCTIONS, ast.ClassDef)):
+                    continue
+                made = value(s, block)
+                if isinstance(s, ast.Return) and s.value is not None:
+                    k = event("return", s, block)
+                    for m in made:
+                        edge(m, k, "value")
+                for n in own_nodes(s):
+                    if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+                        if isinstance(s, ast.AugAssign) and n is s.target:
+                            made.append(event("use", n, block, n.id))
+                        k = event("def", n, block, n.id)
+                        for m in made:
+                            edge(m, k, "value")
+        # Definitions that are live at each block's start, by rounds over the blocks that changed.
+        last: dict[int, dict[str, int]] = {b: {v: k for k, role, v in evs if role in ("def", "param_in")} for b, evs in own.items()}
+        start: dict[int, dict[str, set[int]]] = {b: {} for b in self.blocks}
+        todo = list(self.blocks)
+        while todo:
+            b = todo.pop()
+            ends = {v: ks for v, ks in start[b].items() if v not in last[b]} | {v: {k} for v, k in last[b].items()}
+            for c in after.get(b, ()):
+                grown = False
+                for v, ks in ends.items():
+                    have = start[c].setdefault(v, set())
+                    if not ks <= have:
+                        have |= ks
+                        grown = True
+                if grown:
+                    todo.append(c)
+        for b, evs in own.items():
+            now = {v: set(ks) for v, ks in start[b].items()}
+            for k, role, v in evs:
+                if role == "use":
+                    for d in sorted(now.get(v, ())):
+                        edge(d, k, "reaching")
+                elif role in ("def", "param_in"):
+                    now[v] = {k}
+
 
 def own_nodes(s: ast.stmt) -> Iterator[ast.AST]:
     """Nodes of a statement itself, without the statements and functions inside it."""

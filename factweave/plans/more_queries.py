@@ -694,3 +694,36 @@ def tree_rules(f: Facts) -> DataFrame:
 @query("select 'm' || cast(s_suppkey as string) || '.py' as file_path, 6 as line, 8 as col, 'h(''lit' || cast(s_nationkey as string) || ''', a)' as replacement from supplier")
 def tree_replacements(f: Facts) -> DataFrame:
     return patterns.replacement_plan(patterns.find(_sources(f), "g($A, $B)"), "h($B, $A)").select("file_path", "line", "col", "replacement")
+
+
+@query("select 'm' || cast(s_suppkey as string) || '.f' || cast(s_suppkey as string) as qn, '' as causes from supplier")
+def dead_code_extracted(f: Facts) -> DataFrame:
+    """Unused symbols of the sources: the functions; the classes are entry points by their decorator."""
+    facts = source.extracted(_sources(f))
+    of = lambda name: source.relation(facts, name)
+    entries = recursive.entry_points(of("symbol"), of("decorator_on"), of("exported_symbol"), ["app.route"])
+    return recursive.dead_code(of("symbol"), of("ref_by_block"), of("reachable_block"), of("module_level_ref"), entries)
+
+
+@query(
+    """select 'm' || cast(s_suppkey as string) || '.py' as file_path, role, var, start_line from supplier,
+       (values ('param_in', 'a', 5), ('param_in', 'b', 5), ('use', 'a', 6), ('call_arg', null, 6), ('call_arg', null, 6), ('call_result', null, 6), ('def', 'x', 6), ('use', 'x', 7), ('return', null, 7)) t(role, var, start_line)"""
+)
+def extracted_events(f: Facts) -> DataFrame:
+    return source.relation(source.extracted(_sources(f)), "flow_event").select("file_path", "role", "var", "start_line")
+
+
+@query(
+    """select 'm' || cast(s_suppkey as string) || '.py' as file_path, a as from_role, b as to_role, edge_kind from supplier,
+       (values ('param_in', 'use', 'reaching'), ('use', 'call_arg', 'value'), ('call_arg', 'call_result', 'value'), ('call_arg', 'call_result', 'value'), ('call_result', 'def', 'value'), ('def', 'use', 'reaching'), ('use', 'return', 'value')) t(a, b, edge_kind)"""
+)
+def extracted_flow(f: Facts) -> DataFrame:
+    facts = source.extracted(_sources(f))
+    events = source.relation(facts, "flow_event")
+    of = lambda side: events.select("file_path", F.col("event_id").alias(f"{side}_event"), F.col("role").alias(f"{side}_role"))
+    return source.relation(facts, "flow_edge").join(of("from"), ["file_path", "from_event"]).join(of("to"), ["file_path", "to_event"]).select("file_path", "from_role", "to_role", "edge_kind")
+
+
+@query("select 'm' || cast(s_suppkey as string) || '.f' || cast(s_suppkey as string) as func_qn, block_id from supplier, (values (0), (1)) t(block_id)")
+def extracted_blocks(f: Facts) -> DataFrame:
+    return source.relation(source.extracted(_sources(f)), "reachable_block").select("func_qn", "block_id")

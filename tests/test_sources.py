@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.extract import python
+from factweave.functions import names
 from factweave.operators import flow, patterns, search
+from factweave.schema import RELATIONS
 from factweave.sources import scan
+from factweave.sources.store import FactStore
 
 APP = '''"""Doc."""
 import os
@@ -174,3 +177,51 @@ def test_scan(spark, tmp_path):
     (tmp_path / "src" / "c.txt").write_text("no")
     found = scan.files(spark, str(tmp_path)).select(F.element_at(F.split("file_path", "/"), -1).alias("f"), "language", "content")
     assert [tuple(r) for r in found.collect()] == [("a.py", "python", "x = 1\n")]
+
+
+def edges_of(body):
+    """(from, to, kind) of the one function, and the blocks that its entry reaches."""
+    rows = python.facts_of("m.py", "m", "def f(a):\n" + "\n".join("    " + line for line in body.split("\n")))
+    return {(f["from_block"], f["to_block"], f["edge_kind"]) for r, f in rows if r == "cfg_edge"}, {f["block_id"] for r, f in rows if r == "reachable_block"}
+
+
+def test_jumps_go_through_finally():
+    edges, live = edges_of("try:\n    return a\nfinally:\n    done(a)")
+    assert (3, 2, "finally") in edges and (2, 1, "jump") in edges and not any(x[:2] == (3, 1) for x in edges) and 2 in live
+    edges, _ = edges_of("try:\n    raise a\nfinally:\n    done(a)")
+    assert {(3, 2, "finally"), (2, 1, "exception")} <= edges
+    edges, _ = edges_of("for x in a:\n    try:\n        break\n    finally:\n        done(x)")
+    assert (5, 4, "jump") in edges and (6, 5, "finally") in edges  # the loop is left by its finally block
+    edges, _ = edges_of("try:\n    try:\n        return a\n    finally:\n        x()\nfinally:\n    y()")
+    assert {(5, 4, "finally"), (4, 2, "finally"), (2, 1, "jump")} <= edges
+
+
+def test_references_know_their_block_and_events_reach():
+    source = "def f(a):\n    x = 1\n    if a:\n        x = g(a)\n    return x._y\nz = f(2)\n"
+    rows = python.facts_of("m.py", "m", source)
+    of = lambda name: [f for r, f in rows if r == name]
+    assert {f["block_id"] for f in of("call") if f["callee_qn"] == "m.g"} == {2}
+    assert [f["symbol_qn"] for f in of("module_level_ref")] == ["m.z", "m.f"] or {f["symbol_qn"] for f in of("module_level_ref")} == {"m.z", "m.f"}
+    assert [f["member_name"] for f in of("noncall_private_member_ref")] == ["_y"]
+    role = {f["event_id"]: (f["role"], f["var"], f["start_line"]) for f in of("flow_event")}
+    reaching = {(role[f["from_event"]], role[f["to_event"]]) for f in of("flow_edge") if f["edge_kind"] == "reaching"}
+    assert {(("def", "x", 2), ("use", "x", 5)), (("def", "x", 4), ("use", "x", 5)), (("param_in", "a", 1), ("use", "a", 4))} <= reaching
+
+
+def test_fuzzy_match_replaces_characters(spark):
+    rows = spark.createDataFrame([("ab",), ("axb",), ("abc",), ("zabx",), ("a",)], "name string")
+    got = {r.name: r.hit for r in rows.select("name", names.fuzzy_subsequence(F.col("name"), "abx").alias("hit")).collect()}
+    assert got == {"ab": False, "axb": False, "abc": True, "zabx": True, "a": False}
+
+
+def test_store_carries_other_relations_and_orders_mirrors(spark, tmp_path):
+    facts = FactStore(spark, str(tmp_path))
+    call = spark.createDataFrame([(f"a{k % 7}", f"b{k % 5}", "f.py", k, 0, None, None) for k in range(60)], RELATIONS["call"])
+    facts.publish({"call": call, "file_namespace": spark.createDataFrame([("f.py", "python")], RELATIONS["file_namespace"])})
+    before = facts._where()
+    facts.upsert({"file_namespace": spark.createDataFrame([("g.py", "rust")], RELATIONS["file_namespace"])})
+    after = facts._where()
+    assert before["call"][1] == after["call"][1] and before["file_namespace"][1] != after["file_namespace"][1]
+    assert facts.table("file_namespace").count() == 2 and facts.table("call").count() == facts.table("call_by_callee").count() == 60
+    first = [r.callee_qn for r in facts.table("call_by_callee").coalesce(1).collect()]
+    assert set(first) == {f"b{k}" for k in range(5)}
