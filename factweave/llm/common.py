@@ -51,7 +51,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def bounded(spark: SparkSession) -> None:
     """Sees that Arrow batches of this session hold BATCH_BYTES at most.  It only splits batches, so no result depends on it."""
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(limit).rstrip("b")) <= BATCH_BYTES:
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) <= BATCH_BYTES:
         spark.conf.set(limit, str(BATCH_BYTES))
 
 
