@@ -517,6 +517,22 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("file_path", "module_name", "content").mapInPandas(run, "relation string, fact string")
 
 
+def extracted_with_cache(files: DataFrame, cache: DataFrame | None) -> DataFrame:
+    """content_hash, file_path, relation, fact of every file; files whose path and content the cache (the same columns) holds aren't parsed again."""
+    keyed = files.withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256))
+    key = ["file_path", "content_hash"]
+    known = None if cache is None else cache.join(keyed.select(*key).distinct(), key, "left_semi").select("content_hash", "file_path", "relation", "fact")
+    new = keyed if cache is None else keyed.join(cache.select(*key).distinct(), key, "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(row.content_hash, row.file_path, r, json.dumps(f)) for row in part.itertuples(index=False) for r, f in facts_of(row.file_path, row.module_name, row.content or "")]
+            yield pd.DataFrame(rows, columns=["content_hash", "file_path", "relation", "fact"])
+
+    fresh = new.select("content_hash", "file_path", "module_name", "content").mapInPandas(run, "content_hash string, file_path string, relation string, fact string")
+    return fresh if known is None else known.unionByName(fresh)
+
+
 def relation(facts: DataFrame, name: str) -> DataFrame:
     """One relation of the extracted facts."""
     return facts.where(F.col("relation") == name).select(F.from_json("fact", schema.RELATIONS[name]).alias("x")).select("x.*")

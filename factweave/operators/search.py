@@ -136,3 +136,45 @@ def without_literal_names(dead: DataFrame, literals: DataFrame) -> DataFrame:
     """Candidates (name) without those longer than three letters that stand as a word in any string literal (value)."""
     words = literals.select(F.explode(F.regexp_extract_all("value", F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("name")).where("length(name) > 3").distinct()
     return dead.join(words, "name", "left_anti")
+
+
+def search_symbols(symbols: DataFrame, query: str, limit: int = 50, kind: str | None = None, file_path: str | None = None) -> DataFrame:
+    """qualified_name, name, score of the symbols found by any way (name equal, beginning, part or inside; qualified name; characters in order), each once; `limit` is the list's length."""
+    from factweave.operators import relational
+
+    rows = relational.matching(symbols, kind=kind, file_path=file_path)
+    best = rows.groupBy("qualified_name", "name").agg(F.max(names.symbol_score(F.col("name"), F.col("qualified_name"), query)).alias("score"))
+    return best.where("score > 0").orderBy(F.desc("score"), F.length("name"), "name", "qualified_name").limit(limit)
+
+
+def dispatch(symbols: DataFrame, files: DataFrame, lines: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """kind and value of what a query finds, by its shape: lines of an expression, symbols of a selector, paths, or symbols by name."""
+    from factweave.functions import selectors
+    from factweave.operators import relational
+
+    shape = selectors.shape(query)
+    if shape == "expression":
+        return lines.where(F.col("line_text").rlike(query.strip()[1:-1])).select(F.lit("line").alias("kind"), F.concat_ws(":", F.col("id").cast("string"), F.col("line").cast("string")).alias("value")).orderBy("value").limit(limit)
+    if shape == "selector":
+        s = selectors.selector(query if not query.startswith("::") else "**" + query)
+        found = symbols.where(names.glob_match(F.col("name"), s.symbol_path[-1])) if s.symbol_path else symbols
+        if s.file_path not in (None, "**"):
+            found = found.where(F.col("file_path").rlike(names.path_glob_regex(s.file_path)))
+        return found.select(F.lit("symbol").alias("kind"), F.col("qualified_name").alias("value")).orderBy("value").limit(limit)
+    if shape == "path":
+        top = relational.top(files.select("file_path").distinct(), names.file_score(F.col("file_path"), query), ["file_path"], limit)
+        return top.select(F.lit("file").alias("kind"), F.col("file_path").alias("value"))
+    return search_symbols(symbols, query, limit).select(F.lit("symbol").alias("kind"), F.col("qualified_name").alias("value"))
+
+
+def literal_references(reference: DataFrame, literals: list[str], limit: int | None = None) -> DataFrame:
+    """References whose symbol holds any of the texts, by file and line; `limit` is the list's length."""
+    out = reference.where(any_of([F.contains(F.col("symbol_qn"), F.lit(x)) for x in literals])).orderBy("file_path", "line", "col", "symbol_qn", "ref_kind")
+    return out if limit is None else out.limit(limit)
+
+
+def with_environment(project: DataFrame, environment: DataFrame, asked: DataFrame) -> DataFrame:
+    """name, qualified_name, origin of each asked name: the project's symbols, and the environment's for names that the project lacks."""
+    own = asked.join(project.select("name", "qualified_name"), "name").withColumn("origin", F.lit("project"))
+    rest = asked.join(project.select("name").distinct(), "name", "left_anti")
+    return own.unionByName(rest.join(environment.select("name", "qualified_name"), "name").withColumn("origin", F.lit("environment")))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.extract import python as source
-from factweave.functions import names
-from factweave.operators import checks, clones, dsl, flow, linking, patterns, ranges, recursive, relational, search
+from factweave.functions import names, selectors, types
+from factweave.operators import checks, clones, dsl, flow, impact, linking, patterns, ranges, recursive, relational, rewriting, rules, search
 from factweave.plans.queries import ids, query
 from factweave.plans.storage import scratch_dir
 from factweave.plans.views import Facts
@@ -727,3 +727,220 @@ def extracted_flow(f: Facts) -> DataFrame:
 @query("select 'm' || cast(s_suppkey as string) || '.f' || cast(s_suppkey as string) as func_qn, block_id from supplier, (values (0), (1)) t(block_id)")
 def extracted_blocks(f: Facts) -> DataFrame:
     return source.relation(source.extracted(_sources(f)), "reachable_block").select("func_qn", "block_id")
+
+
+# -- types, selectors and rules -----------------------------------------------------------------------------------
+@query(
+    """select qualified_name, returns in ('int', 'list[str]') as either, returns = 'list[str]' as listed, true as anything from search_symbol where returns <> ''
+       union all select qualified_name, false, false, true from search_symbol where returns = ''""",
+    "search_symbol",
+)
+def types_by_structure(f: Facts) -> DataFrame:
+    fits = lambda wanted: types.type_satisfies(F.col("returns"), wanted)
+    return f.search_symbol.select("qualified_name", fits("int | list[str]").alias("either"), fits("builtins.list[?]").alias("listed"), fits("Unknown").alias("anything"))
+
+
+@query(
+    """select 'f' || k || '.py::C' || k || '.m[params][0]' as query, 'selector' as shape, 'f' || k || '.py' as file_path, 'C' || k || '.m' as symbol_path, 'params' as component, '0' as accessor, cast(null as bigint) as first_line, cast(null as bigint) as last_line from (select cast(s_suppkey as string) as k from supplier) x
+       union all select 'f' || k || '.py:4-' || k, 'lines', 'f' || k || '.py', null, null, null, 4, cast(k as bigint) from (select cast(s_suppkey as string) as k from supplier) x
+       union all select 'g' || k || '($X)', 'pattern', null, null, null, null, null, null from (select cast(s_suppkey as string) as k from supplier) x"""
+)
+def selectors_parsed(f: Facts) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    forms = F.array(F.concat(F.lit("f"), k, F.lit(".py::C"), k, F.lit(".m[params][0]")), F.concat(F.lit("f"), k, F.lit(".py:4-"), k), F.concat(F.lit("g"), k, F.lit("($X)")))
+    return selectors.parsed_selectors(f.supplier.select(F.explode(forms).alias("query")))
+
+
+def _rule_files(f: Facts) -> DataFrame:
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    mark = F.when(n == 0, "").when(n == 1, "  # noqa").otherwise("  # noqa: other")
+    text = F.concat(F.lit("def f(a):\n    eval(a)"), mark, F.lit("\n    if a:\n        print(a)\n\n\nprint("), k, F.lit(")\n"))
+    return f.supplier.select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("file_path"), F.concat(F.lit("m"), k).alias("module_name"), text.alias("content"))
+
+
+_RULES = {
+    "macros": {"show": "print($...A)"},
+    "presets": ["unsafe-python"],
+    "rules": [
+        {"id": "shown", "pattern": "{show}", "inside": "if", "severity": "info", "message": "shown", "exclude": ["src/m1*"]},
+        {"id": "large", "kind": "sql", "sql": "select file_path, line from {symbol} where end_line - line > 45", "message": "large"},
+        {"id": "off", "pattern": "print($X)", "enabled": False},
+    ],
+}
+
+
+@query(
+    """, m as (select s_suppkey, 'src/m' || cast(s_suppkey as string) || '.py' as file_path from supplier)
+       select 'eval' as rule, 'error' as severity, file_path, 2 as line, 4 as col, 'evaluates text' as message from m where s_suppkey % 3 <> 1
+       union all select 'shown', 'info', file_path, 4, 8, 'shown' from m where not starts_with(file_path, 'src/m1')
+       union all select 'large', 'warning', file_path, line, 0, 'large' from symbol where end_line - line > 45""",
+    "symbol",
+)
+def rules_run(f: Facts) -> DataFrame:
+    """A preset with noqa comments, a structural rule with a path that it leaves out, a rule in SQL, and one that is switched off."""
+    return rules.run(f.spark, _rule_files(f), rules.compiled(_RULES), {"symbol": f.symbol})
+
+
+@query(
+    """select 'typed' as rule, 'warning' as severity, 'src/m' || cast(s_suppkey as string) || '.py' as file_path, 2 as line, 4 as col, '' as message from supplier where s_suppkey % 2 = 1"""
+)
+def type_rules(f: Facts) -> DataFrame:
+    """Arguments of eval must be a str; those of odd files are int."""
+    files = _rule_files(f)
+    bound = f.supplier.select(F.concat(F.lit("src/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("m.f.a").alias("symbol_qn"), F.lit(2).cast("long").alias("line"), F.when(F.col("s_suppkey") % 2 == 1, "int").otherwise("str | None").alias("type_str"))
+    rule = rules.compiled({"rules": [{"id": "typed", "kind": "type", "pattern": "eval($A)", "subject": "A", "type": "str"}]})[0]
+    return rules.type_rule(files, rule, bound)
+
+
+@query("select 'input-to-shell' as rule, 'error' as severity, 'n' || cast(s_suppkey as string) || '.py' as file_path, 3 as line, 4 as col, 'input reaches a shell' as message from supplier where s_suppkey % 2 = 0")
+def flow_rules(f: Facts) -> DataFrame:
+    """input() reaches os.system() through a variable; in odd files a quote() stands between."""
+    middle = F.when(F.col("s_suppkey") % 2 == 0, "    x = input()\n").otherwise("    x = quote(input())\n")
+    files = f.supplier.select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("n").alias("module_name"), F.concat(F.lit("def f():\n"), middle, F.lit("    os.system(x)\n")).alias("content"))
+    facts = source.extracted(files)
+    of = lambda name: source.relation(facts, name)
+    events = of("flow_event").where("role in ('call_result', 'use', 'def', 'call_arg')")
+    return rules.flow_rule(events, of("flow_edge"), rules.compiled({"presets": ["input-to-shell"]})[0])
+
+
+# -- impact and walks ------------------------------------------------------------------------------------------------
+_IMPACT = """, ways as (select namespace, callee_qn as src, caller_qn as dst from call join file_namespace using (file_path)),
+       l0 as (select distinct namespace, dst as node from ways where src in ('p7', 'p8')),
+       l1 as (select distinct w.namespace, w.dst as node from ways w join l0 on l0.namespace = w.namespace and l0.node = w.src),
+       met as (select namespace, node, min(level) as level from (select namespace, node, 0 as level from l0 union all select namespace, node, 1 from l1) x group by 1, 2)
+       select node as qn, file_path, namespace, regexp_matches(name, '^(test_|Test)') as is_test, level from met join symbol on qualified_name = node where node not in ('p7', 'p8')"""
+
+
+@query(_IMPACT, "call file_namespace symbol")
+def project_impact(f: Facts) -> DataFrame:
+    return impact.project_impact(f.call, f.symbol, ids(f, "qn", "p7", "p8"), f.file_namespace, 2)
+
+
+@query(_IMPACT.replace("select node as qn, file_path, namespace, regexp_matches(name, '^(test_|Test)') as is_test, level from", "select distinct file_path as value from"), "call file_namespace symbol")
+def impacted_files(f: Facts) -> DataFrame:
+    return impact.projection(impact.project_impact(f.call, f.symbol, ids(f, "qn", "p7", "p8"), f.file_namespace, 2), "files")
+
+
+@query(
+    """, e as (select distinct caller_qn, callee_qn from call), l0 as (select callee_qn as n from e where caller_qn = 's3')
+       select caller_qn, callee_qn, min(level) as level from (
+         select caller_qn, callee_qn, 0 as level from e where caller_qn = 's3' union all select caller_qn, callee_qn, 1 from e where caller_qn in (select n from l0)) x group by 1, 2""",
+    "call",
+)
+def graph_walk(f: Facts) -> DataFrame:
+    return impact.walk(f.call, "s3", "callees", 2)
+
+
+@query("select '\"' || caller_qn || '\" -> \"' || callee_qn || '\";' as line from (select distinct caller_qn, callee_qn from call where file_path = 'f3.py') x", "call")
+def graph_dot(f: Facts) -> DataFrame:
+    return impact.dot(relational.graph_edges(f.call, "f3.py"))
+
+
+@query(
+    """, c as (select user_id as func_id, event_id as arg_event, event_id as ordinal from events where event_type = 'click'), u as (select user_id as func_id, event_id as event, event_id as ordinal from events where event_type in ('purchase', 'view')),
+       x as (select func_id, arg_event as e, ordinal from c union all select func_id, event, ordinal from u)
+       select x.e as from_event, (select min(event) from u where u.func_id = x.func_id and u.ordinal > x.ordinal) as to_event from x where exists (select 1 from u where u.func_id = x.func_id and u.ordinal > x.ordinal)""",
+    "call",
+)
+def container_links(f: Facts) -> DataFrame:
+    base = f.events.select(F.col("user_id").alias("func_id"), F.lit("v").alias("var"), F.lit(0).alias("generation"), F.col("event_id").alias("ordinal"), "event_id", "event_type")
+    calls = base.where("event_type in ('click', 'signup')").select("func_id", F.col("var").alias("receiver"), "generation", F.when(F.col("event_type") == "click", "append").otherwise("pop").alias("method"), "ordinal", F.col("event_id").alias("arg_event"))
+    return impact.container_mutations(calls, base.where("event_type in ('purchase', 'view')").select("func_id", "var", "generation", "ordinal", F.col("event_id").alias("event")))
+
+
+@query(
+    """, a as (select callee_qn as qn, count(distinct caller_qn) as n_callers from call group by 1), b as (select caller_qn as qn, count(distinct callee_qn) as n_callees from call group by 1),
+       c as (select symbol_qn as qn, count(*) as n_refs from reference where ref_kind not in ('definition', 'import') group by 1)
+       select qualified_name as qn, coalesce(n_callers, 0) as n_callers, coalesce(n_callees, 0) as n_callees, coalesce(n_refs, 0) as n_refs,
+              case when n_callers >= 10 then 'high' when n_callers >= 5 then 'medium' else 'low' end as danger
+       from (select distinct qualified_name from symbol) s left join a on a.qn = qualified_name left join b on b.qn = qualified_name left join c on c.qn = qualified_name""",
+    "call reference symbol",
+)
+def symbol_context(f: Facts) -> DataFrame:
+    return impact.context(f.call, f.reference, f.symbol)
+
+
+# -- rewriting and state ------------------------------------------------------------------------------------------------
+@query("select s_suppkey as id, 'add(mult(x' || cast(s_nationkey as string) || ', 1), 0)' as term, 'x' || cast(s_nationkey as string) as best from supplier union all select s_suppkey + 100000, 'f(add(0, y), y)', 'twice(y)' from supplier")
+def terms_simplified(f: Facts) -> DataFrame:
+    sums = f.supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("add(mult(x"), F.col("s_nationkey").cast("string"), F.lit(", 1), 0)")).alias("term"))
+    twice = f.supplier.select((F.col("s_suppkey") + 100000).alias("id"), F.lit("f(add(0, y), y)").alias("term"))
+    return rewriting.simplified(sums.union(twice), [("add(A, B)", "add(B, A)"), ("add(0, A)", "A"), ("mult(A, 1)", "A"), ("f(A, A)", "twice(A)")])
+
+
+@query(
+    """, e as (select 'u' || cast(user_id as string) as file_path, event_id as seq, event_type, row_number() over (partition by user_id order by event_id) as version from events),
+       last as (select *, row_number() over (partition by file_path order by seq desc) as n from e)
+       select file_path, 'ed' as owner, version, event_type as content from last where n = 1 and event_type <> 'error'""",
+    "call",
+)
+def overlays_open(f: Facts) -> DataFrame:
+    """Every event opens a later version; an error closes it."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    updates = f.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_path"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "close").otherwise("update").alias("action"), F.lit("ed").alias("owner"), F.row_number().over(w).cast("long").alias("version"), F.col("event_type").alias("content"))
+    return state.overlay_changes(updates)
+
+
+@query("select 'd' || cast(doc_id as string) as file_path, n_chars as stat, case when doc_id % 3 = 0 then 'kept' else sha256(coalesce(text, '')) end as content_hash from documents")
+def files_rescanned(f: Facts) -> DataFrame:
+    found = f.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.col("n_chars").alias("stat"), F.coalesce("text", F.lit("")).alias("content"))
+    old = found.where("cast(substr(file_path, 2) as long) % 3 = 0").select("file_path", "stat", F.lit("kept").alias("content_hash"))
+    return state.rescan(old, found)
+
+
+@query(
+    """select c.file_path, 'v1' as symbol_qn, c.line, (select t.type_str from type_binding t where t.file_path = c.file_path and t.symbol_qn = 'v1' and t.line <= c.line order by t.line desc, t.type_str desc limit 1) as type_str
+       from (select distinct file_path, line from call) c""",
+    "call type_binding",
+)
+def typed_facts(f: Facts) -> DataFrame:
+    return state.typed_view(f.call.select("file_path", F.lit("v1").alias("symbol_qn"), "line").distinct(), f.type_binding)
+
+
+@query("select relation, count(*) as n from (select unnest(['symbol', 'symbol', 'call']) as relation from supplier) x group by 1")
+def extraction_cached(f: Facts) -> DataFrame:
+    """Half of the sources come from a cache; no fact is there twice."""
+    files = _sources(f).drop("k", "n")
+    cache = source.extracted_with_cache(files.where("cast(substr(module_name, 2) as long) % 2 = 0"), None)
+    return source.extracted_with_cache(files, cache).where("relation in ('symbol', 'call')").groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@query("select 'a' as source_project, n_name as source, 'b' as target_project, r_name as target, case when n_nationkey % 2 = 0 then 'new' else 'old' end as relationship, cast(null as string) as evidence from nation join region on n_regionkey = r_regionkey where n_nationkey <> 7")
+def mapping_store(f: Facts) -> DataFrame:
+    """Put, replace and remove in a store of its own."""
+    held = store.MappingStore(f.spark, f"{scratch_dir(f.spark)}/factweave/mappings-{uuid.uuid4().hex}")
+    row = lambda kind: (F.lit("a").alias("source_project"), F.col("n_name").alias("source"), F.lit("b").alias("target_project"), F.col("r_name").alias("target"), F.lit(kind).alias("relationship"), F.lit(None).cast("string").alias("evidence"))
+    both = f.nation.join(f.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    held.put(both.select(*row("old")))
+    held.put(both.where("n_nationkey % 2 = 0").select(*row("new")))
+    held.remove(both.where("n_nationkey = 7").select(*row("old")))
+    return held.table()
+
+
+# -- search ---------------------------------------------------------------------------------------------------------------
+@query("select * from reference where contains(symbol_qn, '99') or contains(symbol_qn, 's1')", "reference")
+def literal_references(f: Facts) -> DataFrame:
+    return search.literal_references(f.reference, ["99", "s1"])
+
+
+@query(
+    """select 'symbol' as kind, value from (select qualified_name as value from symbol where file_path = 'f7.py' and regexp_matches(name, '^p.*$') order by 1 limit 50) a
+       union all select 'line', value from (select cast(doc_id as string) || ':' || cast(n as string) as value from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from documents) x
+         where regexp_matches(l, 'token = ') order by 1 limit 50) b
+       union all select 'file', value from (select distinct file_path as value from symbol where starts_with(file_path, 'f4.py')) c""",
+    "symbol",
+)
+def search_dispatch(f: Facts) -> DataFrame:
+    """A selector, an expression and a path; 50 of each are listed at most."""
+    lines = scan.lines(f.documents, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    found = [search.dispatch(f.symbol, f.symbol, lines, q) for q in ("f7.py::p*", "/token = /", "f4.py")]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query(
+    """, p as (select name, qualified_name from symbol where kind = 'class'), e as (select name, qualified_name from symbol where kind <> 'class'), q as (select distinct name from symbol)
+       select name, qualified_name, 'project' as origin from p union all select name, qualified_name, 'environment' from e where name not in (select name from p)""",
+    "symbol",
+)
+def environment_lookup(f: Facts) -> DataFrame:
+    return search.with_environment(f.symbol.where("kind = 'class'"), f.symbol.where("kind <> 'class'"), f.symbol.select("name").distinct())

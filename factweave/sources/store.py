@@ -17,6 +17,38 @@ from factweave import schema
 POINTER = "version long, relation string, path string"
 
 
+class MappingStore:
+    """Mappings of identifiers and modules between projects, in snapshots like those of facts; keys are source, target and both projects."""
+
+    KEYS = ["source_project", "source", "target_project", "target"]
+    KIND = "source_project string, source string, target_project string, target string, relationship string, evidence string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [x.getPath() for x in system.listStatus(path)] if system.exists(path) else []
+        ok = lambda p: system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(p.getName()[1:]) for p in done if ok(p))
+
+    def table(self) -> DataFrame:
+        found = self._versions()
+        return self.spark.read.schema(self.KIND).parquet(f"{self.root}/m{found[-1]:06d}") if found else self.spark.createDataFrame([], self.KIND)
+
+    def _publish(self, df: DataFrame) -> None:
+        df.write.parquet(f"{self.root}/m{(self._versions() or [0])[-1] + 1:06d}")
+
+    def put(self, new: DataFrame) -> None:
+        """Adds mappings; those of the same key are replaced."""
+        self._publish(upserted(self.table(), new, self.KEYS))
+
+    def remove(self, gone: DataFrame) -> None:
+        """Takes away the mappings of the given keys."""
+        self._publish(self.table().join(gone.select(*self.KEYS).distinct(), self.KEYS, "left_anti").select(*self.table().columns))
+
+
 class FactStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -24,6 +24,46 @@ def accept(current: tuple | None, update: tuple) -> bool:
     return update[1] > current[1] or (update[1], update[2]) == (current[1], current[2])
 
 
+def closed(current: tuple | None, owner: str, version: int | None) -> bool:
+    """Whether a close takes the overlay away: the same owner's, and no older than the version that is open (null: any)."""
+    return current is not None and current[0] == owner and (version is None or version >= current[1])
+
+
+def overlay_changes(updates: DataFrame) -> DataFrame:
+    """Open overlays after updates and closes (file_path, seq, action, owner, version, content), in order of seq; stale ones are ignored."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        now = None
+        for row in part.sort_values("seq").itertuples(index=False):
+            if row.action == "close":
+                now = None if closed(now, row.owner, None if pd.isna(row.version) else int(row.version)) else now
+            else:
+                new = (row.owner, row.version, row.content)
+                now = new if accept(now, new) else now
+        rows = [] if now is None else [(part["file_path"].iloc[0], *now)]
+        return pd.DataFrame(rows, columns=["file_path", "owner", "version", "content"])
+
+    return updates.groupBy("file_path").applyInPandas(fold, "file_path string, owner string, version long, content string")
+
+
+def rescan(old: DataFrame, found: DataFrame) -> DataFrame:
+    """file_path, stat and content_hash after a scan: files whose stat (length and time) is known keep their hash, others are hashed anew.
+
+    old: file_path, stat, content_hash; found: file_path, stat, content.
+    """
+    known = old.select("file_path", "stat", F.col("content_hash").alias("was"))
+    both = found.join(known, ["file_path", "stat"], "left")
+    return both.select("file_path", "stat", F.coalesce("was", F.sha2(F.col("content").cast("binary"), 256)).alias("content_hash"))
+
+
+def typed_view(facts: DataFrame, type_binding: DataFrame) -> DataFrame:
+    """Facts (file_path, symbol_qn, line) with the type bound last at or before their line; null where none is."""
+    from factweave.operators import ranges
+
+    bound = type_binding.groupBy("file_path", "symbol_qn", F.col("line").alias("bound")).agg(F.max("type_str").alias("type_str"))
+    return ranges.as_of(facts, bound, ["file_path", "symbol_qn"], "line", "bound", ["type_str"])
+
+
 def overlay_fold(updates: DataFrame) -> DataFrame:
     """Current overlay of each file_path after its updates (seq, owner, version, content), in order of seq."""
 
