@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.plans.storage import discard, stored
+from factweave.plans.storage import Scratch, discard, stored, together
 
 
 #: A closure over at most this many edges (times the number of starts that are told apart) runs in one task.
@@ -25,22 +25,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), ca
     edges: keys, src, dst; seeds: keys, carry, node.  Carried columns tell starts apart; edges don't have them.  `most` bounds
     the number of steps.  Both inputs are counted first: small ones are searched in one task, others in rounds.
     """
-    own = [*keys, *carry]
-    edges = stored(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
-    seeds = stored(seeds.select(*own, "node").where("node is not null").distinct(), "seeds")
-    n_edges = edges.count()
-    starts = seeds.select(*carry).distinct().count() if carry else 1
-    if n_edges <= SMALL_EDGES and n_edges * starts <= SMALL_WORK and seeds.count() <= SMALL_EDGES:
-        return _searched(edges, seeds, list(keys), list(carry), most)
+    own, kept = [*keys, *carry], Scratch()
+    edges = kept.packed(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    seeds = kept.packed(seeds.select(*own, "node").where("node is not null").distinct(), "seeds")
+    n_edges, n_seeds = edges._factweave_rows, seeds._factweave_rows
+    starts = min(n_seeds, seeds.select(*carry).distinct().count()) if carry else 1
+    if n_edges <= SMALL_EDGES and n_edges * starts <= SMALL_WORK and n_seeds <= SMALL_EDGES:
+        out = stored(_searched(edges, seeds, list(keys), list(carry), most), "reach")
+        kept.clear()
+        return out
     seen = [seeds.withColumn("level", F.lit(0))]
     while most is None or len(seen) <= most:
         step = seen[-1].select(*own, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*own, F.col("dst").alias("node")).distinct()
         known = reduce(DataFrame.unionByName, seen).select(*own, "node")
-        new = stored(step.join(known, [*own, "node"], "left_anti").withColumn("level", F.lit(len(seen))), "reach")
-        if new.isEmpty():
-            discard(new)
+        new = kept.packed(step.join(known, [*own, "node"], "left_anti").withColumn("level", F.lit(len(seen))), "reach")
+        if not new._factweave_rows:
             break
         seen.append(new)
+    kept.drop(edges)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -68,7 +70,7 @@ def _searched(edges: DataFrame, seeds: DataFrame, keys: list[str], carry: list[s
     one = F.lit(1).alias("_one")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seeds.select(*own, "node").schema)
     ways, starts = edges.select("*", one).groupBy("_one"), seeds.select("*", one).groupBy("_one")
-    return stored(ways.cogroup(starts).applyInPandas(search, f"{kind}, level int"), "reach")
+    return ways.cogroup(starts).applyInPandas(search, f"{kind}, level int")
 
 
 def _pairs(call: DataFrame, src: str, dst: str) -> DataFrame:
@@ -116,19 +118,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds, at most about the square of the logarithm of the node count.
     """
+    kept = Scratch()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
+    now = kept.packed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct()
-        small = stored(small, "edges")
+        least = kept.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = kept.packed(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        low = kept.packed(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = together(large.join(low, "a"), large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct()
+        small = kept.packed(small, "edges")
         sums = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for used in (now, least, large, low):
-            discard(used)
+        kept.drop(now, least, large, low)
         now = small
         if sums == mark:
             break
@@ -155,22 +157,29 @@ def dead_code(symbol: DataFrame, ref_by_block: DataFrame, reachable_block: DataF
     entry points and that nothing refers to.  What only roots can reach is unused too, with the roots that reach it; an
     isolated cycle that no root reaches isn't reported.
     """
+    kept = Scratch()
     live = ref_by_block.join(reachable_block, ["file_path", "func_qn", "block_id"], "left_semi")
-    edges = stored(live.where("func_qn <> symbol_qn").select(F.col("func_qn").alias("src"), F.col("symbol_qn").alias("dst")).distinct(), "refs")
-    outer = stored(module_refs.select(F.col("symbol_qn").alias("qn")).distinct(), "outer")
-    used = edges.select(F.col("dst").alias("qn")).union(outer).distinct()
-    eligible = stored(symbol.where("parent is null").select(F.col("qualified_name").alias("qn")).distinct().join(entries, "qn", "left_anti"), "eligible")
-    roots = stored(eligible.join(used, "qn", "left_anti"), "roots")
-    inner = edges.join(eligible.select(F.col("qn").alias("dst")), "dst", "left_semi").select("src", "dst")
-    candidates = stored(reachable(inner, roots.select(F.col("qn").alias("node"))).select(F.col("node").alias("qn")).distinct(), "candidates")
+    edges = kept.packed(live.where("func_qn <> symbol_qn").select(F.col("func_qn").alias("src"), F.col("symbol_qn").alias("dst")).distinct(), "refs")
+    outer = kept.packed(module_refs.select(F.col("symbol_qn").alias("qn")).distinct(), "outer")
+    eligible = kept.packed(symbol.where("parent is null").select(F.col("qualified_name").alias("qn")).distinct().join(entries, "qn", "left_anti"), "eligible")
+    used = edges.select(F.col("dst").alias("qn")).union(outer)
+    roots = stored(eligible.join(together(used, edges, outer), "qn", "left_anti"), "roots")
+    inner = together(edges.join(eligible.select(F.col("qn").alias("dst")), "dst", "left_semi"), edges, eligible).select("src", "dst")
+    reached = reachable(inner, roots.select(F.col("qn").alias("node")))
+    candidates = kept.packed(reached.select(F.col("node").alias("qn")), "candidates")
+    discard(reached)
     # Kept: referred to from outside, or from something that is no candidate; and all that those reach among candidates.
-    from_others = edges.join(candidates.select(F.col("qn").alias("src")), "src", "left_anti").select(F.col("dst").alias("qn"))
-    kept_seeds = from_others.union(outer).distinct().join(candidates, "qn", "left_semi").select(F.col("qn").alias("node"))
-    among = inner.join(candidates.select(F.col("qn").alias("dst")), "dst", "left_semi").select("src", "dst")
-    kept = reachable(among, kept_seeds).select(F.col("node").alias("qn")).distinct()
-    unused = stored(candidates.join(kept, "qn", "left_anti"), "unused")
-    within = among.join(unused.select(F.col("qn").alias("dst")), "dst", "left_semi").select("src", "dst")
+    from_others = together(edges.join(candidates.select(F.col("qn").alias("src")), "src", "left_anti"), edges, candidates).select(F.col("dst").alias("qn"))
+    kept_seeds = together(from_others.union(outer), edges, outer).join(candidates, "qn", "left_semi").select(F.col("qn").alias("node"))
+    among = together(inner.join(candidates.select(F.col("qn").alias("dst")), "dst", "left_semi"), edges, eligible, candidates).select("src", "dst")
+    alive = reachable(among, kept_seeds)
+    unused = kept.packed(candidates.join(alive.select(F.col("node").alias("qn")), "qn", "left_anti"), "unused")
+    discard(alive)
+    within = together(among.join(unused.select(F.col("qn").alias("dst")), "dst", "left_semi"), edges, eligible, candidates, unused).select("src", "dst")
     starts = roots.select(F.col("qn").alias("root"), F.col("qn").alias("node"))
-    caused = reachable(within, starts, carry=("root",)).select("root", F.col("node").alias("qn")).join(unused, "qn", "left_semi")
-    causes = caused.groupBy("qn").agg(F.array_join(F.sort_array(F.collect_set("root")), ",").alias("causes"))
-    return roots.select("qn", F.lit("").alias("causes")).unionByName(causes.join(roots, "qn", "left_anti"))
+    caused = reachable(within, starts, carry=("root",))
+    named = caused.select("root", F.col("node").alias("qn")).join(unused, "qn", "left_semi").join(roots, "qn", "left_anti")
+    causes = stored(named.groupBy("qn").agg(F.array_join(F.sort_array(F.collect_set("root")), ",").alias("causes")), "causes")
+    discard(caused)
+    kept.clear()
+    return roots.select("qn", F.lit("").alias("causes")).unionByName(causes)

@@ -257,6 +257,7 @@ def entry_points(f: Facts) -> DataFrame:
     "symbol exported_symbol decorator_on ref_by_block reachable_block module_level_ref",
 )
 def dead_code_unified(f: Facts) -> DataFrame:
+    f.keep("call")
     return recursive.dead_code(f.symbol, f.ref_by_block, f.reachable_block, f.module_level_ref, _entries(f))
 
 

@@ -73,3 +73,12 @@ class Scratch:
 def is_small(df: DataFrame) -> bool:
     """True of a packed table that one task can read, and that may be broadcast."""
     return getattr(df, "_factweave_rows", SMALL_ROWS + 1) <= SMALL_ROWS
+
+
+def together(df: DataFrame, *inputs: DataFrame) -> DataFrame:
+    """df, a join or sum of packed tables, in one partition if all of them are small: further joins then need no shuffle."""
+    if not all(is_small(x) for x in inputs):
+        return df
+    out = df.coalesce(1)
+    out._factweave_rows = SMALL_ROWS
+    return out

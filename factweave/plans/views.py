@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave.plans.storage import stored
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -132,9 +134,17 @@ class Facts:
     """Views over the tables of a directory, as DataFrames by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.kept = spark, sf_dir, {}
+
+    def keep(self, *names: str) -> Facts:
+        """Stores views that a query reads several times, directly or through others; what needs them reads the stored rows."""
+        for name in names:
+            self.kept[name] = stored(getattr(self, name), name)
+        return self
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in self.kept:
+            return self.kept[name]
         if name in TABLES:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         if name not in VIEWS:
