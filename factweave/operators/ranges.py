@@ -1,7 +1,7 @@
 """Range, as-of and longest-prefix joins.
 
-All have an equality key besides the range, and the range is cut into buckets of lines, so that the join is a hash or
-sort-merge join and the comparison is left for rows of one bucket.
+All have an equality key besides the range, and ranges are listed in buckets as long as themselves, so that the join is a hash or
+sort-merge join, a range of any length makes two rows at most, and the comparison is left for rows of one bucket.
 """
 
 from __future__ import annotations
@@ -10,16 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, ties: list[Column], bucket: int = 64) -> DataFrame:
-    """Each point with the narrowest range of its key that holds it (both ends inclusive), or nulls.
+def _levels(ranges: DataFrame, start: str, end: str) -> tuple[DataFrame, list[int]]:
+    """Ranges with their level `_l`, the binary digits of their length, so that 2 ** _l is no less than it, and the levels that occur (64 at most)."""
+    marked = ranges.where(F.col(start) <= F.col(end)).withColumn("_l", F.length(F.bin((F.col(end) - F.col(start)).cast("long"))))
+    return marked, sorted(r[0] for r in marked.select("_l").distinct().collect())
 
-    A range is listed in every bucket of `bucket` lines that it touches, so a point meets only ranges near it.
+
+def _bucket(at: str) -> Column:
+    return F.expr(f"shiftright(cast(`{at}` as bigint), _l)")
+
+
+def holding(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
+    """Points joined to the ranges of their keys that may hold them (both ends inclusive); the caller compares places.
+
+    A range is cut by buckets as long as itself, so it is listed in two at most however long it is; a point is listed
+    once for each length class that occurs.  All columns of both sides must differ but for the keys.
     """
-    span = F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))
-    listed = ranges.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(span))
-    marked = points.withColumn("_b", F.floor(F.col(at) / bucket))
+    marked, levels = _levels(ranges, start, end)
+    listed = marked.withColumn("_b", F.explode(F.array_distinct(F.array(_bucket(start), _bucket(end)))))
+    spots = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("_b", _bucket(at))
+    return spots.join(listed, [*keys, "_l", "_b"], how).drop("_l", "_b")
+
+
+def innermost(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, ties: list[Column]) -> DataFrame:
+    """Each point with the narrowest range of its key that holds it (both ends inclusive), or nulls."""
+    joined = holding(points, ranges, [key], at, start, end, "left")
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    joined = marked.join(listed, [key, "_b"], "left")
     names = [c for c in ranges.columns if c != key]
     order = [t.alias(f"_{k}") for k, t in enumerate([F.col(start) - F.col(end), *ties])]
     best = F.max(F.when(inside, F.struct(*order, F.struct(*names).alias("_range"))))
@@ -55,13 +71,25 @@ def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str, prefix: str
     return out.select(*names.columns, F.col(f"_b.{prefix}").alias(prefix), *[F.col(f"_b.{v}").alias(v) for v in values])
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, bucket: int = 64) -> DataFrame:
-    """Pairs of half-open intervals (start, stop) and (r_start, r_stop) of one key that overlap, each once."""
-    lists = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket)))
-    l_ = left.where("start < stop").withColumn("_b", lists("start", "stop"))
-    r = right.where("r_start < r_stop").withColumn("_b", lists("r_start", "r_stop"))
-    both = l_.join(r, [key, "_b"]).where("start < r_stop and r_start < stop")
-    return both.where(F.col("_b") == F.floor(F.greatest("start", "r_start") / bucket)).drop("_b")
+def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Pairs of half-open intervals (start, stop) and (r_start, r_stop) of one key that overlap, each once.
+
+    Of a pair, the interval of the larger length class is listed in its own buckets, two at most, and the other one in the
+    buckets of that class that it touches, two at most; the pair is made in the bucket where the later one begins.
+    """
+    class_of = lambda a, b: F.length(F.bin((F.col(b) - F.col(a) - 1).cast("long")))
+    l_ = left.where("start < stop").withColumn("_own", class_of("start", "stop"))
+    r = right.where("r_start < r_stop").withColumn("_r_own", class_of("r_start", "r_stop"))
+    levels = sorted({x[0] for x in l_.select("_own").distinct().union(r.select("_r_own").distinct()).collect()})
+    every = F.array(*map(F.lit, levels or [0]))
+    touched = lambda a, b: F.explode(F.array_distinct(F.array(_bucket(a), F.expr(f"shiftright(cast(`{b}` as bigint) - 1, _l)"))))
+
+    def listed(df: DataFrame, own: str, a: str, b: str) -> DataFrame:
+        return df.withColumn("_l", F.explode(F.filter(every, lambda x: x >= F.col(own)))).withColumn("_b", touched(a, b))
+
+    both = listed(l_, "_own", "start", "stop").join(listed(r, "_r_own", "r_start", "r_stop"), [key, "_l", "_b"])
+    both = both.where((F.col("_l") == F.greatest("_own", "_r_own")) & (F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop")))
+    return both.where(F.col("_b") == F.expr("shiftright(cast(greatest(start, r_start) as bigint), _l)")).drop("_b", "_l", "_own", "_r_own")
 
 
 def merged(intervals: DataFrame, key: str) -> DataFrame:
@@ -75,9 +103,11 @@ def merged(intervals: DataFrame, key: str) -> DataFrame:
 
 def suppressed(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     """Findings (file_path, line, rule) without those in a range (file_path, start, end, tags); null tags suppress all rules."""
-    listed = ranges.withColumn("line", F.explode(F.sequence("start", "end"))).select("file_path", "line", "tags")
-    same = (findings.file_path == listed.file_path) & (findings.line == listed.line)
-    return findings.join(listed, same & (listed.tags.isNull() | F.array_contains(listed.tags, findings.rule)), "left_anti")
+    spots = findings.select("file_path", "line", "rule").distinct()
+    given = ranges.select("file_path", F.col("start").alias("_start"), F.col("end").alias("_end"), "tags")
+    hit = holding(spots, given, ["file_path"], "line", "_start", "_end").where(F.col("line").between(F.col("_start"), F.col("_end")))
+    hit = hit.where(F.col("tags").isNull() | F.array_contains("tags", F.col("rule")))
+    return findings.join(hit.select("file_path", "line", "rule").distinct(), ["file_path", "line", "rule"], "left_anti").select(findings.columns)
 
 
 def translated(lines: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -90,23 +120,22 @@ def translated(lines: DataFrame, hunks: DataFrame) -> DataFrame:
     return moved.select("file_path", "line", F.when(F.col("hunks").isNull(), F.col("line")).when(~gone, F.col("line") + shift).alias("new_line"))
 
 
-def touching(findings: DataFrame, changed: DataFrame, bucket: int = 64) -> DataFrame:
+def touching(findings: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings (file_path, line, end_line) whose span meets a changed interval (file_path, start, stop half open)."""
     spans = findings.select("file_path", "line", "end_line").distinct()
     left = spans.select("file_path", "line", "end_line", F.col("line").alias("start"), (F.col("end_line") + 1).alias("stop"))
-    hit = overlapping(left, changed.select("file_path", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), "file_path", bucket)
+    hit = overlapping(left, changed.select("file_path", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), "file_path")
     return findings.join(hit.select("file_path", "line", "end_line").distinct(), ["file_path", "line", "end_line"], "left_semi")
 
 
-def endpoint_events(spans: DataFrame, events: DataFrame, roles: list[str], bucket: int = 256) -> DataFrame:
+def endpoint_events(spans: DataFrame, events: DataFrame, roles: list[str]) -> DataFrame:
     """The event of each pattern span (span, file_path, start, stop): the one inside it whose role comes first in `roles`, then the last by ordinal.
 
     events: file_path, event_id, role, at, ordinal.
     """
     rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
-    listed = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))))
-    marked = events.withColumn("_b", F.floor(F.col("at") / bucket)).withColumn("_rank", rank).where("_rank > 0")
-    inside = listed.join(marked, ["file_path", "_b"]).where("at >= start and at < stop")
+    marked = events.withColumn("_rank", rank).where("_rank > 0")
+    inside = holding(marked, spans.withColumn("_last", F.col("stop") - 1), ["file_path"], "at", "start", "_last").where("at >= start and at < stop")
     best = F.max_by("event_id", F.struct(-F.col("_rank"), F.col("ordinal"), F.col("event_id")))
     return inside.groupBy("span").agg(best.alias("event_id"))
 

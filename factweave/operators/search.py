@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import names
+from factweave.operators import ranges
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -127,7 +128,7 @@ def changed_symbols(symbol: DataFrame, intervals: DataFrame) -> DataFrame:
     The owner of a line is the last one to begin; ties go to the narrower.
     """
     lines = intervals.where("start < stop").select("file_path", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("changed")).distinct()
-    held = lines.join(symbol.select("file_path", "qualified_name", "line", "end_line"), "file_path").where("changed between line and end_line")
+    held = ranges.holding(lines, symbol.select("file_path", "qualified_name", "line", "end_line"), ["file_path"], "changed", "line", "end_line").where("changed between line and end_line")
     owner = F.max_by("qualified_name", F.struct("line", -F.col("end_line"), "qualified_name"))
     return held.groupBy("file_path", "changed").agg(owner.alias("qualified_name")).select("qualified_name").distinct()
 

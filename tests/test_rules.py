@@ -1,9 +1,12 @@
 """Types, selectors, where clauses, rule documents and rewriting, by example."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.functions import selectors, types
-from factweave.operators import rewriting, rules
+from factweave.operators import ranges, rewriting, rules
 
 
 def test_types_are_read_alike_from_several_languages():
@@ -73,3 +76,16 @@ def test_rewriting_finds_the_cheapest_equal_term():
     endless = rewriting.Equalities()
     k = endless.add(rewriting.read("g(x)"))
     assert endless.saturate([(rewriting._holes("g(A)"), rewriting._holes("g(g(A))"))], 5) <= 5 and rewriting.shown(endless.cheapest(k)) == "g(x)"
+
+
+def test_ranges_of_any_length_equal_brute_force(spark):
+    rng = random.Random(7)
+    spans = [(rng.choice("ab"), s, s + rng.choice([1, 2, 3, 64, 65, 1000, 10**9])) for s in (rng.randrange(-50, 3000) for _ in range(60))]
+    points = [(k, p) for k in "ab" for p in [-51, -1, 0, *range(0, 3000, 97), 10**9]]
+    left = spark.createDataFrame(spans, "k string, start long, stop long")
+    right = spark.createDataFrame([(k, a + 5, a + 5 + n) for (k, a, _), n in zip(spans, [1, 7, 5000] * 20, strict=True)], "k string, r_start long, r_stop long")
+    got = sorted(tuple(r) for r in ranges.overlapping(left, right, "k").collect())
+    assert got == sorted((k, a, b, c, d) for k, a, b in spans for j, c, d in map(tuple, right.collect()) if j == k and a < d and c < b)
+    dots = spark.createDataFrame(points, "k string, at long")
+    held = ranges.holding(dots, left.withColumn("last", F.col("stop") - 1), ["k"], "at", "start", "last").where("at between start and last")
+    assert sorted((r.k, r["at"], r.start, r.stop) for r in held.collect()) == sorted((k, p, a, b) for k, p in points for j, a, b in spans if j == k and a <= p < b)
