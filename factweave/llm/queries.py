@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import decontam, htmltext, langid, neardup, pieces, pii, quality, tokens, toxicity, urls
+from factweave.llm import decontam, htmltext, langid, neardup, oracles, pieces, pii, quality, tokens, toxicity, urls
 from factweave.llm.common import crc32_of, stored, table
 
 
@@ -123,6 +123,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans alone, which SQL can express: those columns of op1_personal_data."""
+    docs = pii.with_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", F.filter("_candidates", lambda x: x["base"]).alias("base"))
+    return docs.select("doc_id", *(F.size(F.filter("base", pii.of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals alone, which SQL can express: those columns of op8_quality."""
+    return op8_quality(spark, sf_dir).drop("kept", "quality")
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_language": op2_language,
@@ -134,6 +146,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pieces": op9_pieces,
     "op10_near_duplicates": op10_near_duplicates,
+    "personal_data_base": personal_data_base,
+    "quality_base": quality_base,
 }
 
-ORACLE_SQL = {"op6_url_rules": OP6_SQL}
+ORACLE_SQL = {"op6_url_rules": OP6_SQL, "personal_data_base": oracles.PERSONAL_DATA_BASE, "quality_base": oracles.QUALITY_BASE}
