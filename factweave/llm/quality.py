@@ -24,6 +24,8 @@ from factweave.llm.common import map_batches, small_rows, stored, texts_of
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 RUN = 8
+#: Characters that end a sentence or a quotation, in several scripts.
+ENDINGS = frozenset(".!?…:;\"'”’»)]。！？；：」』）؟۔।॥")
 #: Signals of a text, all long.
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ending", "n_alpha_words", "n_upper_words", "top_word")
 
@@ -64,19 +66,26 @@ def signals_of(text: str) -> tuple[int, ...]:
         if not body:
             continue
         lines += 1
-        ending += body[-1] in ".!?…:;\"'”»)"
+        ending += body[-1] in ENDINGS
         dup += line in seen
         seen.add(line)
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    alpha = sum(n for w, n in counts.items() if _LETTER.search(w))
-    upper = sum(n for w, n in counts.items() if len(w) > 1 and w.isupper())
+    alpha = upper = 0
+    for w, n in counts.items():
+        if w.isascii():
+            alpha += n if _LETTER.search(w) else 0
+            upper += n if len(w) > 1 and w.isupper() else 0
+        else:
+            word = w.decode("utf-8", "replace")
+            alpha += n if any(map(str.isalpha, word)) else 0
+            upper += n if len(word) > 1 and word.isupper() else 0
     return (len(words), len(text) - white, len(SYMBOLS.findall(text)), dup, repeat_words(words), lines, ending, alpha, upper, max(counts.values()))
 
 
 _NO_SPACE = dict.fromkeys(map(ord, " \t\n\r\x0b\x0c"))
-_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

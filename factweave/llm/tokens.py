@@ -3,7 +3,8 @@
 Documents are encoded whole, counted by length with map-side partial sums, and only the histogram (at most one row per
 distinct length) goes on.  Suffix sums run in two levels, so no window puts the whole histogram into one task.
 
-Defined results: null and empty texts have length 0.  An empty table gives an empty histogram.
+Defined results: null and empty texts have length 0.  Rows that repeat count each; rows of equal length are one row of the
+histogram.  An empty table gives an empty histogram.  Other columns don't matter.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -474,6 +475,47 @@ def test_posterior_needs_more_than_one_bad_vote():
     assert model.evidence("1" * 9) > 0 > model.evidence("110110110")
 
 
+def test_quality_estimate_equals_plain_expectation_maximisation():
+    """One round over single texts, by Bayes' rule written out."""
+    counts = [("11", 5), ("1-", 3), ("00", 2), ("-0", 4)]
+    texts = [v for v, n in counts for _ in range(n)]
+    odds = {v: 0.02 + 0.96 * (1 + v.count("1")) / (2 + v.count("1") + 4 * v.count("0")) for v in texts}
+    start = ({"1": 0.7, "0": 0.05, "-": 0.25}, {"1": 0.3, "0": 0.4, "-": 0.3})
+    model = quality.estimate(counts, 2, 1)
+    assert model.prior == pytest.approx(min(0.98, max(0.5, sum(odds[v] for v in texts) / len(texts))))
+    for k in range(2):
+        for side in (0, 1):
+            share = lambda v: odds[v] if side == 0 else 1 - odds[v]  # noqa: B023, E731
+            mass = sum(share(v) for v in texts) / len(texts)
+            for x in "10-":
+                got = sum(share(v) for v in texts if v[k] == x) / len(texts)
+                assert model.chances[k][side][x] == pytest.approx((got + 0.01 * start[side][x]) / (mass + 0.01))
+    z = math.log(model.prior / (1 - model.prior)) + math.log(model.chances[0][0]["1"] / model.chances[0][1]["1"]) + math.log(model.chances[1][0]["-"] / model.chances[1][1]["-"])
+    assert model.evidence("1-") == pytest.approx(z)
+
+
+def test_signals_know_other_scripts():
+    names = quality.SIGNALS
+    got = dict(zip(names, quality.signals_of("ПРИВЕТ мир 。\n日本語です。\n🎉🎉 ???"), strict=True))
+    assert got["n_ending"] == 3 and got["n_alpha_words"] == 3 and got["n_upper_words"] == 1
+
+
+def test_operators_take_clashing_columns_and_empty_tables(spark):
+    """Extra columns with names that the operators use, nulls everywhere, and no rows."""
+    clash = spark.createDataFrame([(1, "Some words stand here.", "x", "y", 0.5, None), (None, None, None, None, None, None)], "doc_id long, text string, score string, lang string, lang_pred double, n_words long")
+    grammar = toxicity.learn([])
+    for docs in (clash, clash.limit(0)):
+        n = docs.count()
+        assert toxicity.scored(docs, grammar).count() == toxicity.accepted(docs, grammar).count() == n
+        assert langid.identified(docs, None).count() == quality.judged(docs).count() == n
+        assert decontam.contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    pages = spark.createDataFrame([(1, None, None, "h"), (1, None, None, "h"), (None, "http://h/", "<p>t</p>", "h")], "page_id long, url string, html string, host string")
+    rules = spark.createDataFrame([("h", "/", "block")], "host string, path string, verdict string")
+    for table in (pages, pages.limit(0)):
+        assert urls.judged(table, rules).count() == htmltext.main_text(table).count() == table.count()
+    assert toxicity.train(clash.limit(0).withColumn("toxic", F.lit(1))).bias < 0
+
+
 def test_digest_is_of_joined_ids(spark):
     row = spark.createDataFrame([([1, 22],), ([],)], "ids array<int>").select(F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256)).collect()
     assert [r[0] for r in row] == [hashlib.sha256(b"1,22").hexdigest(), hashlib.sha256(b"").hexdigest()]
