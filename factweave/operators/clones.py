@@ -208,3 +208,20 @@ def run_clusters(runs: DataFrame) -> DataFrame:
 def in_order(pairs: DataFrame) -> DataFrame:
     """Near clones by category, similarity, and names."""
     return pairs.orderBy("category", F.desc("similarity"), "left", "right")
+
+
+def subtree_clusters(subtrees: DataFrame, keywords: list[str] = (), across_files: bool | None = None) -> DataFrame:
+    """hash, size, n_files, nodes, score of equal subtrees (file_path, symbol, kinds, tokens, depth) that aren't trivial.
+
+    score: nodes times the logarithm of the different tokens, 20 more across files, less what speaks against showing it.  across_files
+    keeps clusters of several files, or of one, only.
+    """
+    kept = subtrees.where(~is_trivial(F.col("kinds"), F.col("tokens"), F.col("depth"), list(keywords))).withColumn("hash", canonical_hash(F.col("kinds"), F.col("tokens")))
+    first = F.min(F.struct("symbol", "kinds", "tokens")).alias("one")
+    out = kept.groupBy("hash").agg(F.count("*").alias("size"), F.countDistinct("file_path").alias("n_files"), first).where("size > 1")
+    nodes = F.size("one.kinds")
+    score = nodes * F.log2(F.greatest(F.size(F.array_distinct(F.col("one.tokens"))) + 1, F.lit(2))) + F.when(F.col("n_files") > 1, 20.0).otherwise(0.0)
+    minus = penalty(F.col("one.symbol"), F.col("one.kinds"), F.col("one.tokens"), F.col("n_files") == 1)
+    if across_files is not None:
+        out = out.where((F.col("n_files") > 1) == across_files)
+    return out.select("hash", "size", "n_files", nodes.alias("nodes"), F.round(score - minus, 4).alias("score"))

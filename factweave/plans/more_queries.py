@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.extract import python as source
+from factweave.extract import subtrees
 from factweave.functions import names, selectors, types
 from factweave.operators import checks, clones, dsl, flow, impact, linking, patterns, ranges, recursive, relational, rewriting, rules, search
 from factweave.plans.queries import ids, query
@@ -944,3 +945,12 @@ def search_dispatch(f: Facts) -> DataFrame:
 )
 def environment_lookup(f: Facts) -> DataFrame:
     return search.with_environment(f.symbol.where("kind = 'class'"), f.symbol.where("kind <> 'class'"), f.symbol.select("name").distinct())
+
+
+@query("select count(*) as size, count(*) as n_files, s_nationkey as literal from supplier group by s_nationkey having count(*) > 1")
+def subtree_clones(f: Facts) -> DataFrame:
+    """Functions that differ in their own name only are clones; their literals are kept, so they group by nation."""
+    found = subtrees.subtrees(_sources(f)).where("symbol like '%.f%'")
+    literal = F.regexp_extract(F.array_join("tokens", " "), r"'lit(\d+)'", 1).cast("int")
+    named = found.select(clones.canonical_hash(F.col("kinds"), F.col("tokens")).alias("hash"), literal.alias("literal")).distinct()
+    return clones.subtree_clusters(found).join(named, "hash").select("size", "n_files", "literal")

@@ -1,10 +1,12 @@
 """Types, selectors, where clauses, rule documents and rewriting, by example."""
 
+import ast
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from factweave.extract import subtrees
 from factweave.functions import selectors, types
 from factweave.operators import ranges, rewriting, rules
 
@@ -89,3 +91,14 @@ def test_ranges_of_any_length_equal_brute_force(spark):
     dots = spark.createDataFrame(points, "k string, at long")
     held = ranges.holding(dots, left.withColumn("last", F.col("stop") - 1), ["k"], "at", "start", "last").where("at between start and last")
     assert sorted((r.k, r["at"], r.start, r.stop) for r in held.collect()) == sorted((k, p, a, b) for k, p in points for j, a, b in spans if j == k and a <= p < b)
+
+
+def test_subtrees_forget_bound_names():
+    of = lambda text: subtrees.canonical(ast.parse(text).body[0])
+    assert of("def f(a, b):\n    c = a + g(b)\n    return c") == of("def h(x, y):\n    z = x + g(y)\n    return z")
+    assert of("def f(a):\n    return g(a)") != of("def f(a):\n    return h(a)") and of("def f(a):\n    return 1") != of("def f(a):\n    return 2")
+    assert of("for i in r:\n    p(i, i)") != of("for i in r:\n    p(i, j)")
+    kinds, tokens, depth = of("def f(a):\n    return a")
+    assert (kinds, tokens, depth) == (["functiondef", "arguments", "arg", "return", "name"], ["bound_0", "bound_1", "bound_1"], 3)
+    assert [r[1:4] for r in subtrees.subtrees_of("a.py", "a", "class C:\n    def m(self):\n        if x:\n            y()\n")] == [("a.C", 1, 4), ("a.C.m", 2, 4), ("a.C.m", 3, 4)]
+    assert not list(subtrees.subtrees_of("a.py", "a", "def ("))
