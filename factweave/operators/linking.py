@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators import ranges
+from factweave.operators import ranges, recursive
 
 
 def resolved_modules(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -90,3 +90,28 @@ def completions(prefix: str, local: DataFrame, imported: DataFrame, indexed: Dat
     return every.groupBy("name").agg(F.max("score").alias("score")).orderBy(F.desc("score"), F.length("name"), "name").limit(limit)
 
 
+
+
+def unused_modules(modules: DataFrame, imports: DataFrame, entries: DataFrame) -> DataFrame:
+    """Modules (module) that no other module imports, whole or a part of them, and that are no entry (module).
+
+    imports: importing_module, module, imported_name (null for a whole module).
+    """
+    target = F.explode(F.array(F.col("module"), F.concat_ws(".", "module", "imported_name")))
+    used = imports.select("importing_module", target.alias("used")).where("importing_module <> used").select(F.col("used").alias("module")).distinct()
+    return modules.select("module").distinct().join(used, "module", "left_anti").join(entries.select("module").distinct(), "module", "left_anti")
+
+
+def class_members(classes: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
+    """class, name, owner, level of the members (owner, name) of classes (class) and of all their bases (class, base), the nearest of each name."""
+    ways = bases.select(F.col("class").alias("src"), F.col("base").alias("dst"))
+    met = recursive.reachable(ways, classes.select("class", F.col("class").alias("node")), carry=("class",)).withColumnRenamed("node", "owner")
+    return met.join(members, "owner").groupBy("class", "name").agg(F.min(F.struct("level", "owner")).alias("x")).select("class", "name", F.col("x.owner").alias("owner"), F.col("x.level").alias("level"))
+
+
+def resolved_methods(typed_calls: DataFrame, symbol: DataFrame) -> DataFrame:
+    """Calls (file_path, line, method, type_str) with the method of the receiver's class: symbols whose parent is the type, or ends in its short name."""
+    own = symbol.where("parent is not null").select(F.split("parent", r"\.").alias("_p"), F.col("name").alias("method"), F.col("qualified_name").alias("callee_qn"))
+    own = own.select(F.element_at("_p", -1).alias("type_name"), "method", "callee_qn")
+    asked = typed_calls.withColumn("type_name", F.element_at(F.split("type_str", r"\."), -1))
+    return asked.join(own, ["type_name", "method"]).select("file_path", "line", "method", "type_str", "callee_qn").distinct()

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.extract import python as source
-from factweave.extract import subtrees
+from factweave.extract import registry, subtrees
 from factweave.functions import names, selectors, types
 from factweave.operators import checks, clones, dsl, flow, impact, linking, patterns, ranges, recursive, relational, rewriting, rules, search
 from factweave.plans.queries import ids, query
 from factweave.plans.storage import scratch_dir
 from factweave.plans.views import Facts
-from factweave.sources import scan, store
+from factweave.sources import index, scan, store
 from factweave.streaming import state
 
 
@@ -954,3 +954,63 @@ def subtree_clones(f: Facts) -> DataFrame:
     literal = F.regexp_extract(F.array_join("tokens", " "), r"'lit(\d+)'", 1).cast("int")
     named = found.select(clones.canonical_hash(F.col("kinds"), F.col("tokens")).alias("hash"), literal.alias("literal")).distinct()
     return clones.subtree_clusters(found).join(named, "hash").select("size", "n_files", "literal")
+
+
+@query(
+    """, m as (select 'f' || cast(s_suppkey as string) as module from supplier), used as (select distinct replace(imported_module, 'pkg.', '') as module from import_ where 'pkg.' || replace(importing_file, '.py', '') <> imported_module)
+       select 'pkg.' || module as module from m where module not in (select module from used) and module not in ('f53', 'f54')""",
+    "import_",
+)
+def unused_modules(f: Facts) -> DataFrame:
+    module = lambda c: F.concat(F.lit("pkg."), F.regexp_replace(c, "[.]py$", ""))
+    imports = f.import_.select(module("importing_file").alias("importing_module"), F.col("imported_module").alias("module"), F.nullif("imported_name", F.lit("")).alias("imported_name"))
+    return linking.unused_modules(f.supplier.select(F.concat(F.lit("pkg.f"), F.col("s_suppkey").cast("string")).alias("module")), imports, ids(f, "module", "pkg.f53", "pkg.f54"))
+
+
+@query(
+    """, climb(class, owner, level) as (select n_nationkey, n_nationkey, 0 from nation union all select u.class, u.owner // 2, u.level + 1 from climb u where u.owner > 0),
+       member as (select s_nationkey as owner, 'm' || cast(s_suppkey % 6 as string) as name from supplier group by 1, 2),
+       ranked as (select u.class, m.name, u.owner, u.level, row_number() over (partition by u.class, m.name order by u.level) as n from climb u join member m on m.owner = u.owner)
+       select 'N' || cast(class as string) as class, name, 'N' || cast(owner as string) as owner, level from ranked where n = 1""",
+    "symbol",
+)
+def members_of_bases(f: Facts) -> DataFrame:
+    """Class Nk has the base N(k / 2); members come from suppliers."""
+    text = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    k = F.col("n_nationkey")
+    bases = f.nation.where("n_nationkey > 0").select(text(k).alias("class"), text(F.floor(k / 2)).alias("base"))
+    members = f.supplier.select(text(F.col("s_nationkey")).alias("owner"), F.concat(F.lit("m"), (F.col("s_suppkey") % 6).cast("string")).alias("name")).distinct()
+    return linking.class_members(f.nation.select(text(k).alias("class")), bases, members)
+
+
+@query(
+    """select distinct c.file_path, c.line, s.name as method, 'lib.' || s.parent as type_str, s.qualified_name as callee_qn from (select distinct file_path, line, callee_qn from call) c
+       join symbol s on s.parent = c.callee_qn""",
+    "call symbol",
+)
+def methods_resolved(f: Facts) -> DataFrame:
+    asked = f.call.select("file_path", "line", "callee_qn").distinct().join(f.symbol.where("parent is not null").select(F.col("parent").alias("callee_qn"), F.col("name").alias("method")).distinct(), "callee_qn")
+    return linking.resolved_methods(asked.select("file_path", "line", "method", F.concat(F.lit("lib."), "callee_qn").alias("type_str")), f.symbol)
+
+
+@query(f"with x as ({_PATHS}) select path as file_path from x where ends_with(path, '.ts') and path in (select path from x where id % 3 = 0)")
+def files_picked(f: Facts) -> DataFrame:
+    found = _paths(f).select("id", F.col("path").alias("file_path"))
+    return scan.picked(found, found.where("id % 3 = 0"), ["typescript"]).select("file_path")
+
+
+@query("select 'changed' as status, count(*) as n from supplier where s_suppkey % 2 = 0 union all select 'deleted', count(*) from supplier where s_suppkey % 2 = 1 and s_suppkey < 5 union all select 'unchanged', count(*) from supplier where s_suppkey % 2 = 1 and s_suppkey >= 5 union all select 'symbols', 2 * count(*) from supplier where not (s_suppkey % 2 = 1 and s_suppkey < 5)")
+def index_refreshed(f: Facts) -> DataFrame:
+    """An index of the sources, then of the sources with every other one changed and some gone: what was done, and how many symbols there are."""
+    files = _sources(f).withColumn("language", F.lit("python"))
+    own = index.Index(f.spark, f"{scratch_dir(f.spark)}/factweave/index-{uuid.uuid4().hex}")
+    own.refresh(files.select("file_path", "module_name", "content", "language"))
+    later = files.where("not (cast(k as int) % 2 = 1 and cast(k as int) < 5)").withColumn("content", F.when(F.col("k").cast("int") % 2 == 0, F.concat("content", F.lit("y = 1\n"))).otherwise(F.col("content")))
+    done = own.refresh(later.select("file_path", "module_name", "content", "language"))
+    return done.groupBy("status").agg(F.count("*").alias("n")).union(own.status().where("relation = 'symbol'").select(F.lit("symbols"), "n"))
+
+
+@query("select relation, count(*) as n from (select unnest(['symbol', 'symbol']) as relation from supplier where s_suppkey % 2 = 0 union all select 'error' from supplier where s_suppkey % 2 = 1) x group by 1")
+def extractors_by_language(f: Facts) -> DataFrame:
+    files = _sources(f).withColumn("language", F.when(F.col("k").cast("int") % 2 == 0, "python").otherwise("cobol"))
+    return registry.extracted(files, {"python": source.facts_of}).where("relation in ('symbol', 'error')").groupBy("relation").agg(F.count("*").alias("n"))

@@ -52,3 +52,9 @@ def diff_hunks(diff_lines: DataFrame) -> DataFrame:
     return seen.where(F.col("line").startswith("@@ ")).select(
         "diff_id", "file_path", num(1, 0).alias("old_start"), num(2, 1).alias("old_count"), num(3, 0).alias("new_start"), num(4, 1).alias("new_count")
     )
+
+
+def picked(found: DataFrame, inventory: DataFrame | None, wanted: list[str] | None = None) -> DataFrame:
+    """The files that an inventory lists where there is one, else all that a scan found; of the wanted languages."""
+    out = found if inventory is None else tracked(found, inventory)
+    return out if wanted is None else out.where(language(F.col("file_path")).isin(list(wanted)))
