@@ -27,7 +27,7 @@ from factweave.llm.common import list_array, map_batches, texts_of
 
 SPACE = "▁"
 #: Words are remembered up to this length; at most so many recent ones, and as many from before those.
-WORD_CHARS, WORDS_KEPT, PAIRS_KEPT = 48, 80_000, 200_000
+WORD_CHARS, WORDS_KEPT, PAIRS_KEPT = 48, 250_000, 200_000
 
 
 def _lenient(found: bytearray) -> str:
