@@ -54,13 +54,16 @@ CLOSES = {
 }
 #: Elements that keep such a closing from going further out.
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dd": frozenset(["dl"]), "dt": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"])}
-#: Last words of a class or id that mark page furniture, and words that say nothing when they stand after them.
-FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription "
-    "signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side widget widgets related recommended recommendations share sharing social follow comment comments commentlist respond replies reply discussion disqus "
-    "footer foot header masthead toolbar pagination pager search searchbox skip disclaimer alert".split()
+#: Words of a class or id that mark page furniture wherever they stand, and those that do as the last word.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead toolbar pagination disqus comments commentlist".split()
 )
-GENERIC = frozenset("list box bar area block section container wrapper wrap inner outer content body text item items row col column panel holder group links link thread form left right top bottom main unit slot label title heading".split())
+FURNITURE = STRONG | frozenset("banner promo promos promotion notice notices menu menus side widget widgets related recommended recommendations share sharing social follow comment respond replies reply discussion foot header pager search searchbox skip disclaimer alert".split())
+#: Words that say nothing when they stand last; words that name an article, or that tell of furniture that is elsewhere.
+GENERIC = frozenset("list box bar area block section container wrapper wrap inner outer content body text item items row col column panel holder group links link thread form left right top bottom main unit slot label title heading button buttons icon icons toggle message media logo tools count trail".split())
+ARTICLE = frozenset("article story work works entry essay paper chapter feature".split())
+NEGATING = frozenset("has with no without non hide".split())
 #: What follows "related" and the like where other pages are listed, not the article's own section.
 ELSEWHERE = frozenset("posts post articles article stories story news reading pages topics videos".split())
 PARTS = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+")
@@ -70,12 +73,19 @@ DIGITS = re.compile(r"\d+")
 
 
 def is_furniture(marks: str) -> bool:
-    """Whether a class or id names page furniture: the last word decides, so print-article and related-work don't."""
+    """Whether a class or id names page furniture.
+
+    The last word decides, so print-article and related-work don't; has-sidebar speaks of another element.
+    """
     for mark in marks.split():
         parts = [x.lower() for x in PARTS.findall(mark)]
+        if not NEGATING.isdisjoint(parts):
+            continue
         while len(parts) > 1 and parts[-1] in GENERIC:
             parts.pop()
-        if parts and (parts[-1] in FURNITURE or len(parts) > 1 and parts[-1] in ELSEWHERE and parts[-2] in ("related", "recommended", "more", "similar")):
+        if not parts or parts[-1] in ARTICLE:
+            continue
+        if parts[-1] in FURNITURE or not STRONG.isdisjoint(parts) or len(parts) > 1 and parts[-1] in ELSEWHERE and parts[-2] in ("related", "recommended", "more", "similar"):
             return True
     return False
 

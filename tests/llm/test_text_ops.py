@@ -416,6 +416,12 @@ def test_article_parts_that_are_no_furniture():
     assert htmltext.extract(page, []).split("\n\n") == ["Title", *["Words of the article stand here, and there are quite a few of them. More follow."] * 2, "In a set."]
 
 
+def test_furniture_words():
+    yes = "ad ads ad-slot cookie-banner site-footer footer-copyright post-comments userComment comment-text disqus_thread share-buttons social-media related-posts sponsored-post menu-toggle sidebar sidebar-primary mainNav newsletter-signup promo-box"
+    no = "article main content print-article related-work has-sidebar no-footer side-effects post entry-content research-paper headers shared adhoc navel newsletter-article body text"
+    assert [w for w in yes.split() if not htmltext.is_furniture(w)] == [] and [w for w in no.split() if htmltext.is_furniture(w)] == []
+
+
 @pytest.mark.parametrize("source", ["<div>" * 100_000 + "a word. " * 9, "<b>" * 100_000 + "a word." + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "w" + "<p>x</p>" * 50_000, "<li>" * 100_000 + "end", "<" * 100_000, '<a "' * 50_000])
 def test_nested_and_stray_tags_take_linear_time(source):
     began = time.time()
