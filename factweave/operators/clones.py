@@ -26,10 +26,11 @@ def exact_clusters(fragments: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(score, 4))
 
 
-def shingles(tokens: DataFrame, id_col: str, tokens_col: str, size: int = 5) -> DataFrame:
-    """id and each distinct run of `size` tokens."""
+def shingles(tokens: DataFrame, id_col: str, tokens_col: str, size: int = 5, hashed: bool = False) -> DataFrame:
+    """id and each distinct run of `size` tokens, as text or, for joins over many texts, as 64-bit hash."""
     at = F.sequence(F.lit(1), F.size(tokens_col) - size + 1)
-    runs = F.transform(at, lambda i: F.array_join(F.slice(tokens_col, i, F.lit(size)), " "))
+    run = lambda i: F.slice(tokens_col, i, F.lit(size))
+    runs = F.transform(at, lambda i: F.xxhash64(run(i)) if hashed else F.array_join(run(i), " "))
     return tokens.where(F.size(tokens_col) >= size).select(F.col(id_col).alias("id"), F.explode(F.array_distinct(runs)).alias("shingle"))
 
 

@@ -431,7 +431,7 @@ def exact_clone_clusters(f: Facts) -> DataFrame:
 def shingle_pairs(f: Facts) -> DataFrame:
     tokens = F.split(F.lower("text"), " ").alias("t")
     texts = f.documents.select((F.col("doc_id") + 1000000).alias("id"), tokens)
-    return clones.shared_shingles(clones.shingles(f.benchmark.select(F.col("item_id").alias("id"), tokens).unionByName(texts), "id", "t"))
+    return clones.shared_shingles(clones.shingles(f.benchmark.select(F.col("item_id").alias("id"), tokens).unionByName(texts), "id", "t", hashed=True))
 
 
 @query(
