@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _levels(ranges: DataFrame, start: str, end: str) -> tuple[DataFrame, list[int]]:
-    """Ranges with their level `_l`, the binary digits of their length, so that 2 ** _l is no less than it, and the levels that occur (64 at most)."""
+#: Up to so many ranges, Spark may broadcast them.  It guesses their size from that of the files, which may be a small part of it.
+BROADCAST_ROWS = 100_000
+
+
+def _levels(ranges: DataFrame, start: str, end: str) -> tuple[DataFrame, dict[int, int]]:
+    """Ranges with their level `_l`, the binary digits of their length, so that 2 ** _l is no less than it, and how many are of each level that occurs (64 at most)."""
     marked = ranges.where(F.col(start) <= F.col(end)).withColumn("_l", F.length(F.bin((F.col(end) - F.col(start)).cast("long"))))
-    return marked, sorted(r[0] for r in marked.select("_l").distinct().collect())
+    return marked, dict(sorted(tuple(r) for r in marked.groupBy("_l").count().collect()))
 
 
 def _bucket(at: str) -> Column:
@@ -24,10 +28,13 @@ def holding(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, star
     """Points joined to the ranges of their keys that may hold them (both ends inclusive); the caller compares places.
 
     A range is cut by buckets as long as itself, so it is listed in two at most however long it is; a point is listed
-    once for each length class that occurs.  All columns of both sides must differ but for the keys.
+    once for each length class that occurs.  All columns of both sides must differ but for the keys.  Ranges beyond
+    BROADCAST_ROWS are joined by sorting both sides.
     """
     marked, levels = _levels(ranges, start, end)
     listed = marked.withColumn("_b", F.explode(F.array_distinct(F.array(_bucket(start), _bucket(end)))))
+    if sum(levels.values()) > BROADCAST_ROWS:
+        listed = listed.hint("merge")
     spots = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("_b", _bucket(at))
     return spots.join(listed, [*keys, "_l", "_b"], how).drop("_l", "_b")
 

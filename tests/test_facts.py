@@ -111,6 +111,14 @@ def test_ranges(spark):
     assert sorted((r.start, r.stop) for r in ranges.merged(spans, "k").collect()) == [(1, 8), (10, 12)]
 
 
+def test_many_ranges_of_small_files_are_not_broadcast(spark):
+    wide = spark.range(ranges.BROADCAST_ROWS + 1).select(F.lit("f").alias("k"), (F.col("id") * 3).alias("a"), (F.col("id") * 3 + 4).alias("b"), F.col("id").alias("name"))
+    points = spark.createDataFrame([("f", 0), ("f", 7), ("f", 9), ("f", 10**9), ("g", 1)], "k string, spot long")
+    got = ranges.innermost(points, wide, "k", "spot", "a", "b", [F.col("name")])
+    assert {(r.k, r.spot): r.name for r in got.collect()} == {("f", 0): 0, ("f", 7): 2, ("f", 9): 3, ("f", 10**9): None, ("g", 1): None}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_translated_lines_equal_simulation(spark):
     hunks = spark.createDataFrame([("f", 3, 2, 5), ("f", 8, 0, 1), ("f", 10, 1, 0)], "file_path string, old_start long, old_count long, new_count long")
     lines = spark.createDataFrame([("f", n) for n in range(1, 13)], "file_path string, line long")
