@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,14 +157,77 @@ def call_components(edges: DataFrame) -> DataFrame:
 def summaries(edges: DataFrame, params: DataFrame, returns: DataFrame, sinks: DataFrame) -> DataFrame:
     """func_qn, param_name, flows_to_return, flows_to_sink of every parameter.
 
-    edges: src, dst inside functions; params: func_qn, param_name, node; returns: func_qn, node; sinks: node.
+    edges: src, dst inside functions, and func_qn if known; params: func_qn, param_name, node; returns: func_qn, node; sinks: node,
+    and func_qn if known.  Returns and sinks are followed back, so no pairs of parameters and nodes are made.  Each function is
+    in one task; without func_qn it has the components of its parameters.
     """
-    seeds = params.select("func_qn", "param_name", "node")
-    reached = recursive.reachable(edges, seeds, carry=("func_qn", "param_name"))
-    out = reached.join(returns.select("func_qn", "node", F.lit(True).alias("to_return")), ["func_qn", "node"], "left").join(sinks.select("node", F.lit(True).alias("to_sink")), "node", "left")
-    return out.groupBy("func_qn", "param_name").agg(
-        F.coalesce(F.max("to_return"), F.lit(False)).alias("flows_to_return"), F.coalesce(F.max("to_sink"), F.lit(False)).alias("flows_to_sink")
-    )
+    edges = edges.where("src is not null and dst is not null")
+    params = params.select("func_qn", "param_name", "node").where("node is not null")
+    if "func_qn" not in edges.columns:
+        named = recursive.components(edges.select("src", "dst"))
+        owners = params.join(named, "node").select("func_qn", "component").distinct()
+        edges = edges.join(named.withColumnRenamed("node", "src"), "src").join(owners, "component")
+    if "func_qn" not in sinks.columns:
+        own = params.select("func_qn", "node").union(edges.select("func_qn", "dst")).distinct()
+        sinks = own.join(sinks.select("node").distinct(), "node")
+    name, node = params.schema["param_name"].dataType, params.schema["node"].dataType
+    no_name, no_node = F.lit(None).cast(name).alias("param_name"), F.lit(None).cast(node).alias("dst")
+    marks = [df.select("func_qn", F.lit(what).alias("what"), no_name, "node", no_node).where("node is not null") for what, df in (("return", returns), ("sink", sinks))]
+    every = edges.select("func_qn", F.lit("edge").alias("what"), no_name, F.col("src").alias("node"), "dst").union(params.select("func_qn", F.lit("param"), "param_name", "node", no_node))
+    every = every.union(marks[0]).union(marks[1]).repartition("func_qn").sortWithinPartitions("func_qn")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for functions in whole_groups(batches, "func_qn"):
+            yield from flows(functions).to_batches()
+
+    kinds = params.select("func_qn", "param_name", F.lit(True).alias("flows_to_return"), F.lit(True).alias("flows_to_sink")).schema
+    return every.mapInArrow(solve, kinds)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of batches that are sorted by a key, of `least` rows or more but for the last, none of which ends inside a key's rows."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_pylist()
+        cut = keys.index(keys[-1])
+        if rows + cut >= least and (cut or keys[0] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows, last = rows + batch.num_rows, keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def flows(functions: pa.Table) -> pa.Table:
+    """func_qn, param_name, flows_to_return, flows_to_sink of whole functions: func_qn, what (edge, param, return or sink), param_name, node, dst."""
+    coded = lambda x: np.asarray(x.combine_chunks().dictionary_encode("encode").indices)
+    marked = lambda what: pc.equal(functions["what"], what).to_numpy()
+    func, edge, is_param = coded(functions["func_qn"]), marked("edge"), marked("param")
+    at = coded(pa.chunked_array([*functions["node"].chunks, *functions["dst"].filter(pa.array(edge)).chunks]))
+    if func.any():  # the same node may be in several functions
+        at = np.unique(np.concatenate([func, func[edge]]) * np.int64(len(at)) + at, return_inverse=True)[1]
+    node, dst = at[: len(func)], at[len(func) :]
+    src = node[edge][np.argsort(dst, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(dst, minlength=at.max(initial=-1) + 1))])
+    out = functions.select(["func_qn", "param_name"]).filter(pa.array(is_param))
+    for column, mark in (("flows_to_return", "return"), ("flows_to_sink", "sink")):
+        out = out.append_column(column, pa.array(leading_to(node[marked(mark)], src, first)[node[is_param]]))
+    sums = out.group_by(["func_qn", "param_name"]).aggregate([("flows_to_return", "any"), ("flows_to_sink", "any")])
+    return pa.table([sums[c] for c in ("func_qn", "param_name", "flows_to_return_any", "flows_to_sink_any")], names=out.column_names)
+
+
+def leading_to(goals: np.ndarray, src: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a goal can be reached from each node, itself included; the edges into node k begin at src[first[k] : first[k + 1]]."""
+    seen, frontier = np.zeros(len(first) - 1, dtype=bool), np.unique(goals)
+    while len(frontier):
+        seen[frontier] = True
+        n = first[frontier + 1] - first[frontier]
+        before = src[np.repeat(first[frontier] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        frontier = np.unique(before[~seen[before]])
+    return seen
 
 
 def cross_file_calls(call_events: DataFrame, call: DataFrame, params: DataFrame) -> DataFrame:

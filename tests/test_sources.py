@@ -1,5 +1,8 @@
 """Extraction, patterns, flow graphs and edit plans on small Python sources."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +142,48 @@ def test_summaries(spark):
     assert rows(got, "param_name", "flows_to_return", "flows_to_sink") == [("a", True, False), ("b", False, True)]
 
 
+def test_summaries_of_a_long_function(spark):
+    n = 10_000  # every node is a parameter, so pairs of parameters and nodes would be 50 million, in as many rounds as there are nodes
+    nodes = spark.range(n).select(F.lit("f").alias("func_qn"), F.col("id").cast("string").alias("param_name"), F.col("id").alias("node"))
+    edges = nodes.where(F.col("node") < n - 1).select("func_qn", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    got = flow.summaries(edges, nodes, nodes.where(f"node = {n - 1}").select("func_qn", "node"), nodes.where("node = 4000").select("node"))
+    assert {r[:] for r in got.collect()} == {("f", str(k), True, k <= 4000) for k in range(n)}
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_summaries_equal_search(spark, named):
+    draw, names_of = random.Random(5), "abcdefgh"
+    inside = {f: [(f"{f}{draw.randrange(12)}", f"{f}{draw.randrange(12)}") for _ in range(10)] for f in names_of}
+    some = lambda k: [(f, f"{f}{draw.randrange(12)}") for f in names_of for _ in range(k)]
+    params, returns, sinks = [(f, f"p{draw.randrange(4)}", n) for f, n in some(5)], some(1), some(1)
+    want = {}
+    for f, p, n in params:
+        seen, todo = {n}, [n]
+        while todo:
+            a = todo.pop()
+            new = {d for s, d in inside[f] if s == a} - seen
+            seen |= new
+            todo.extend(new)
+        r, s = want.get((f, p), (False, False))
+        want[f, p] = r or any((f, x) in returns for x in seen), s or any((f, x) in sinks for x in seen)
+    edges = spark.createDataFrame([(f, a, b) for f, ways in inside.items() for a, b in ways] + [("a", None, "a1")], "func_qn string, src string, dst string")
+    marks = spark.createDataFrame(returns, "func_qn string, node string"), spark.createDataFrame(sinks, "func_qn string, node string")
+    given = (edges, marks[1]) if named else (edges.drop("func_qn"), marks[1].drop("func_qn"))
+    got = flow.summaries(given[0], spark.createDataFrame(params, "func_qn string, param_name string, node string"), marks[0], given[1])
+    assert rows(got, *got.columns) == sorted((*k, *v) for k, v in want.items())
+    assert {v for v in want.values()} == {(a, b) for a in (True, False) for b in (True, False)}
+
+
+@pytest.mark.parametrize("least", [1, 4, 100])
+def test_whole_groups(least):
+    keys = [None, None, "a", "b", "b", "b", "b", "b", "b", "c", "d", "d"]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + 2], "string"), "n": list(range(i, i + 2))}) for i in range(0, len(keys), 2)]
+    parts = [t.to_pydict() for t in flow.whole_groups(iter([batches[0].slice(0, 0), *batches]), "k", least)]
+    assert [n for t in parts for n in t["n"]] == list(range(len(keys)))
+    assert all(len(t["k"]) >= least for t in parts[:-1])
+    assert all(not set(a["k"]) & set(b["k"]) for i, a in enumerate(parts) for b in parts[i + 1 :])
+
+
 def test_symbol_queries(files):
     symbols = python.relation(python.extracted(files), "search_symbol")
     names = lambda **kw: [n for (n,) in rows(search.query_symbols(symbols, **kw), "name")]
