@@ -111,6 +111,12 @@ def test_ranges(spark):
     assert sorted((r.start, r.stop) for r in ranges.merged(spans, "k").collect()) == [(1, 8), (10, 12)]
 
 
+def test_union_of_repeated_intervals(spark):
+    spans = [("f", 1, 4), ("f", 10, 11), ("f", 10, 13), ("f", 20, 22), ("g", 1, 2)]
+    repeated = spark.createDataFrame(spans * 50, "k string, start long, stop long").repartition(8)
+    assert sorted((r.k, r.start, r.stop) for r in ranges.merged(repeated, "k").collect()) == [("f", 1, 4), ("f", 10, 13), ("f", 20, 22), ("g", 1, 2)]
+
+
 def test_many_ranges_of_small_files_are_not_broadcast(spark):
     wide = spark.range(ranges.BROADCAST_ROWS + 1).select(F.lit("f").alias("k"), (F.col("id") * 3).alias("a"), (F.col("id") * 3 + 4).alias("b"), F.col("id").alias("name"))
     points = spark.createDataFrame([("f", 0), ("f", 7), ("f", 9), ("f", 10**9), ("g", 1)], "k string, spot long")
