@@ -1,6 +1,7 @@
 """Near duplicates and the pipeline against brute force."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from factweave.llm import neardup
 from factweave.plans import storage
-from factweave.llm.shingles import bag, bag_signatures, mix, overlap
+from factweave.llm.shingles import WORD, bag, bag_signatures, mix, overlap, shingle_hashes, shingles_of, word_hashes, words_of
 
 
 def test_signature_share_is_the_weighted_jaccard():
@@ -26,6 +27,35 @@ def test_signature_share_is_the_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.015 and max(map(abs, errors)) < 0.09
 
 
+def test_words_and_shingles_of_many_texts_equal_those_of_each():
+    every = ["".join(map(chr, range(k, k + 4096))) for k in range(0, 0x110000, 4096)]
+    for texts in ([], [""], ["", "a"], ["a b", "", "...", "A b c, d e f_1"], ["x" * 200_000, "y z"], corpus()[:40], every):
+        texts = [t or "" for t in texts]
+        words, counts = words_of(texts)
+        assert counts.tolist() == [len(WORD.findall(t.lower())) for t in texts]
+        plain = [w for t in texts for w in WORD.findall(t.lower())]
+        assert len(set(zip(plain, words.tolist(), strict=True))) == len(set(plain)) == len(set(words.tolist()))
+        grams, sizes = shingles_of(words, counts, 5)
+        each = [shingle_hashes(words[at - n : at], 5).tolist() for n, at in zip(counts, np.cumsum(counts), strict=True)]
+        assert sizes.tolist() == list(map(len, each)) and grams.tolist() == sum(each, [])
+
+
+def test_signing_costs_little_more_than_plain_hashing_of_words():
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.randrange(10**9):x}" for _ in range(500)) for _ in range(400)]
+    began = time.process_time()
+    for t in texts:
+        word_hashes(t)
+    plain = time.process_time() - began
+    words_of(["a"])
+    began = time.process_time()
+    grams, sizes = shingles_of(*words_of(texts), 5)
+    for lo in range(0, 400, 100):
+        flat, owner = grams[sizes[:lo].sum() : sizes[: lo + 100].sum()], np.repeat(np.arange(100), sizes[lo : lo + 100])
+        bag_signatures(owner, flat, np.ones(len(flat), np.int64), 100, 180)
+    assert time.process_time() - began < 1.1 * plain
+
+
 def corpus(seed=3, families=14):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
